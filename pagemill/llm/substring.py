@@ -94,7 +94,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, text: str = "text", doc_
                 words = tx.Words(buf, off)
                 starts = np.concatenate([np.cumsum(get_arrays(m)[0], dtype=np.int64) for m in marks or []] or [np.zeros(0, np.int64)])
                 drop = tx.covered(starts, window, len(words.starts))
-                kept, new_off = join_words(buf, words, ~drop)
+                kept, new_off = tx.join_words(buf, words, ~drop)
                 column = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(new_off), pa.py_buffer(kept)).cast(pa.string())
                 column = pa.compute.if_else(pa.compute.is_null(table.column(text)), pa.scalar(None, pa.string()), column)
                 removed = np.diff(np.r_[0, np.cumsum(drop)][words.first]) if len(drop) else np.zeros(len(off) - 1, np.int64)
@@ -103,18 +103,3 @@ def dedup_substrings(docs: DataFrame, window: int = 20, text: str = "text", doc_
                 yield from table.to_batches()
 
     return with_blocks(packed, gone).mapInArrow(rewrite, schema)
-
-
-def join_words(buf: np.ndarray, words: tx.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of each document's kept words joined by one space."""
-    starts, ends, docs = words.starts[keep], words.ends[keep], words.docs()[keep]
-    n_docs = len(words.counts)
-    if not len(starts):
-        return np.zeros(0, np.uint8), np.zeros(n_docs + 1, np.int64)
-    lead = np.r_[False, docs[1:] == docs[:-1]]  # a word after another one of its document brings a space
-    size = ends - starts + lead
-    begin = np.r_[0, np.cumsum(size)]
-    source = np.arange(begin[-1]) + np.repeat(starts - lead - begin[:-1], size)
-    out = buf[np.maximum(source, 0)]
-    out[begin[:-1][lead]] = 0x20
-    return out, np.r_[0, np.cumsum(np.bincount(docs, size, n_docs).astype(np.int64))]

@@ -163,3 +163,18 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         apart = label[a] != label[b]
         a, b = a[apart], b[apart]
     return label
+
+
+def join_words(buf: np.ndarray, words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of each document's kept words joined by one space."""
+    starts, ends, docs = words.starts[keep], words.ends[keep], words.docs()[keep]
+    n_docs = len(words.counts)
+    if not len(starts):
+        return np.zeros(0, np.uint8), np.zeros(n_docs + 1, np.int64)
+    lead = np.r_[False, docs[1:] == docs[:-1]]  # a word after another one of its document brings a space
+    size = ends - starts + lead
+    begin = np.r_[0, np.cumsum(size)]
+    source = np.arange(begin[-1]) + np.repeat(starts - lead - begin[:-1], size)
+    out = buf[np.maximum(source, 0)]
+    out[begin[:-1][lead]] = 0x20
+    return out, np.r_[0, np.cumsum(np.bincount(docs, size, n_docs).astype(np.int64))]
