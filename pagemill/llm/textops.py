@@ -142,9 +142,8 @@ def chunks(off: np.ndarray, limit: int = 4 << 20):
 
 def covered(starts: np.ndarray, size, n: int) -> np.ndarray:
     """Positions of 0..n-1 covered by spans [start, start + size)."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + size, -1)
+    change = np.bincount(starts, minlength=n + 1)
+    change -= np.bincount(starts + size, minlength=n + 1)
     return np.cumsum(change[:n]) > 0
 
 
