@@ -33,5 +33,21 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup}
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_groups
+
+    return embedding_groups(_vectors(spark, sf_dir), threshold=0.9)
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_inner
+
+    return top_inner(_vectors(spark, sf_dir), k=5, every=50, factor=256)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup, "op1_embedding_dedup": op1_embedding_dedup, "op10_top_k": op10_top_k}
 ORACLES: dict[str, str] = {}
