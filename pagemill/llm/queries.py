@@ -49,5 +49,18 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner(_vectors(spark, sf_dir), k=5, every=50, factor=256)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup, "op1_embedding_dedup": op1_embedding_dedup, "op10_top_k": op10_top_k}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_scores(_docs(spark, sf_dir), labels, folds=5, held_out=0, threshold=0.3)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_docs(spark, sf_dir, "doc_id", "text", "lang"), folds=4, held_out=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup, "op1_embedding_dedup": op1_embedding_dedup, "op10_top_k": op10_top_k, "op3_quality": op3_quality, "op7_language_id": op7_language_id}
 ORACLES: dict[str, str] = {}
