@@ -18,8 +18,8 @@ from . import textops as tx
 from .blocks import expand, gaps, get_arrays, is_repeated, pack, put_arrays, repeated_keys, squeeze, table_of, with_blocks
 from .session import prepare
 
-PART_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+PART_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 def _words_at(buf: np.ndarray) -> np.ndarray:
@@ -167,12 +167,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, k: int = 24, text: str = "tex
         key, row, start, count = key[keep], row[keep], start[keep], count[keep]
         owner = tx.ids(table.column(doc_id))[row]
         end = start + count + (length - 1)
-        one, two = (np.zeros(len(key), np.uint64) for _ in range(2))
-        cuts = list(tx.chunks(off, 1 << 20))
-        for lo, hi in cuts:
-            a, b = np.searchsorted(start, [off[lo], off[hi]])
-            for lane, out in ((0, one), (1, two)):
-                out[a:b] = tx.span_hash(buf[off[lo] : off[hi]], start[a:b] - off[lo], end[a:b] - off[lo], lane)
+        one, two = (tx.span_hash(buf, start, end, lane) for lane in (0, 1))
         order = np.lexsort((owner, two, one, key))
         key, owner, start, count, one, two = (x[order] for x in (key, owner, start, count, one, two))
         new = np.ones(len(key), bool)

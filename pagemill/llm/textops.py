@@ -14,6 +14,7 @@ SPACE_BYTES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 NULL_ID = -(2**63)
+STRETCH = 1 << 19
 
 _U64 = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -54,8 +55,16 @@ def _span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
 
 
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of buf[starts:ends] for each span; lanes are independent."""
-    return mix(_span_sums(_bytes_table(lane)[buf], starts, ends, _BASES[lane]))
+    """A 64-bit hash of buf[starts:ends] for each span, in order of their starts; lanes are independent."""
+    out = np.empty(len(starts), _U64)
+    lo = 0
+    while lo < len(starts):  # in bounded stretches of the buffer
+        at = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(starts, at + STRETCH)))
+        stop = int(ends[lo:hi].max())
+        out[lo:hi] = _span_sums(_bytes_table(lane)[buf[at:stop]], starts[lo:hi] - at, ends[lo:hi] - at, _BASES[lane])
+        lo = hi
+    return mix(out)
 
 
 def gram_hash(hashes: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
