@@ -62,5 +62,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_docs(spark, sf_dir, "doc_id", "text", "lang"), folds=4, held_out=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup, "op1_embedding_dedup": op1_embedding_dedup, "op10_top_k": op10_top_k, "op3_quality": op3_quality, "op7_language_id": op7_language_id}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    out = pack_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), window=1024)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    out = dedup_lines(_docs(spark, sf_dir), run=3, gram=2)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup, "op1_embedding_dedup": op1_embedding_dedup, "op10_top_k": op10_top_k, "op3_quality": op3_quality, "op4_packing": op4_packing, "op8_line_dedup": op8_line_dedup, "op7_language_id": op7_language_id}
 ORACLES: dict[str, str] = {}
