@@ -78,5 +78,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup, "op1_embedding_dedup": op1_embedding_dedup, "op10_top_k": op10_top_k, "op3_quality": op3_quality, "op4_packing": op4_packing, "op8_line_dedup": op8_line_dedup, "op7_language_id": op7_language_id}
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import decode_pieces, encode_pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = decode_pieces(encode_pieces(_docs(spark, sf_dir), model).drop("text"), model)
+    return out.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup, "op1_embedding_dedup": op1_embedding_dedup, "op10_top_k": op10_top_k, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_packing": op4_packing, "op8_line_dedup": op8_line_dedup, "op7_language_id": op7_language_id}
 ORACLES: dict[str, str] = {}
