@@ -23,7 +23,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
-    return simhash_groups(_docs(spark, sf_dir), shingle=4, radius=4)
+    return simhash_groups(_docs(spark, sf_dir), shingle=4, radius=4, lanes=1)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -16,8 +17,8 @@ from .session import prepare, shared_checkpoint
 LEAF, FAN, SMALL = 16, 8, 24
 
 
-def fingerprint_docs(docs: DataFrame, shingle: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): 64 majority bits over XXH64 (seed 42) of each document's lower-cased word shingles.
+def fingerprint_docs(docs: DataFrame, shingle: int = 4, lanes: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, fp0, ...): 64 majority bits a lane over XXH64 (seed 42, 43, ...) of the lower-cased word shingles.
 
     Fewer words than a shingle: the whole sequence is the one shingle. No word, or null text: zero.
     """
@@ -25,37 +26,48 @@ def fingerprint_docs(docs: DataFrame, shingle: int = 4, text: str = "text", doc_
     def run(batches):
         for batch in batches:
             buf, off = tx.flat(batch.column(text))
-            out = np.zeros(len(off) - 1, np.uint64)
+            out = np.zeros((len(off) - 1, lanes), np.uint64)
             for lo, hi in tx.chunks(off):
-                out[lo:hi] = fingerprints(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], shingle)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(doc_id).cast(pa.int64()), "fp": pa.array(out.view(np.int64))})
+                out[lo:hi] = fingerprints(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], shingle, lanes)
+            columns = {"doc_id": batch.column(doc_id).cast(pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns | {f"fp{i}": pa.array(out[:, i].view(np.int64)) for i in range(lanes)})
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, " + ", ".join(f"fp{i} long" for i in range(lanes)))
 
 
-def fingerprints(buf: np.ndarray, off: np.ndarray, shingle: int) -> np.ndarray:
+def fingerprints(buf: np.ndarray, off: np.ndarray, shingle: int, lanes: int = 1) -> np.ndarray:
     buf = tx.LOWER[buf]
     words = tx.Words(buf, off)
     joined, joined_off = tx.join_words(buf, words, np.ones(len(words.starts), bool))
     spans = tx.Words(joined, joined_off)
-    data, hash64, out = joined.tobytes(), xxhash.xxh64_intdigest, np.zeros(len(off) - 1, np.uint64)
+    data, hash64, out = joined.tobytes(), xxhash.xxh64_intdigest, np.zeros((len(off) - 1, lanes), np.uint64)
     starts, ends = spans.starts.tolist(), spans.ends.tolist()
     for d, (a, b) in enumerate(zip(spans.first[:-1].tolist(), spans.first[1:].tolist())):
         if a == b:
             continue
         n = max(1, b - a - shingle + 1)
         last = ends[a + shingle - 1 : b] if b - a >= shingle else [ends[b - 1]]
-        h = np.fromiter([hash64(data[s:e], 42) for s, e in zip(starts[a : a + n], last)], np.uint64, n)
-        set_bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[d] = np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0]
+        pieces = [data[s:e] for s, e in zip(starts[a : a + n], last)]
+        for lane in range(lanes):
+            h = np.fromiter([hash64(x, 42 + lane) for x in pieces], np.uint64, n)
+            set_bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            out[d, lane] = np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0]
     return out
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """Position of each code in the reflected Gray sequence: neighbours there differ in few bits."""
-    for s in (1, 2, 4, 8, 16, 32):
-        x = x ^ (x >> np.uint64(s))
-    return x
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """Rows of codes in the order of the reflected Gray sequence, where neighbours differ in few bits."""
+    ranks, odd = [], np.zeros(len(codes), np.uint64)
+    for x in codes.T:
+        for s in (1, 2, 4, 8, 16, 32):
+            x = x ^ (x >> np.uint64(s))
+        ranks.append(x ^ (np.uint64(0) - odd))
+        odd = ranks[-1] & np.uint64(1)
+    return np.lexsort(ranks[::-1])
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
 def radius_links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,29 +76,38 @@ def radius_links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     Codes are sorted by Gray rank; each node of the index holds the bits that all codes below it share. The shared bits
     in which two nodes differ are a lower bound for all pairs below: over the radius, the whole pair of groups goes. If
     even all unshared bits together stay within the radius, everything below links, and a spanning set of pairs does.
+    Near neighbours of the order link first; groups that are one component already need no further look.
     """
-    order = np.argsort(gray_rank(codes), kind="stable")
+    order = gray_order(codes)
     f = codes[order]
     n = len(f)
+    left, right = [], []
+    for step in range(1, min(9, n)):
+        p = np.flatnonzero(distance(f[:-step], f[step:]) <= radius)
+        left.append(p)
+        right.append(p + step)
+    label = tx.forest(n, np.concatenate(left), np.concatenate(right)) if left else np.arange(n)
     cuts = [np.arange(0, n, LEAF)]
     while len(cuts[-1]) > FAN:
         cuts.append(cuts[-1][::FAN])
     ands = [np.bitwise_and.reduceat(f, c) for c in cuts]
     loose = [a ^ np.bitwise_or.reduceat(f, c) for a, c in zip(ands, cuts)]
-    left, right = [], []
+    lows, highs = [np.minimum.reduceat(label, c) for c in cuts], [np.maximum.reduceat(label, c) for c in cuts]
     top = len(cuts) - 1
     a, b = np.triu_indices(len(cuts[top]))
     for level in range(top, -1, -1):
-        at, end = cuts[level], np.r_[cuts[level][1:], n]
+        at, end, low, high = cuts[level], np.r_[cuts[level][1:], n], lows[level], highs[level]
         kept_a, kept_b = [], []
-        for lo in range(0, len(a), 1 << 20):
-            x, y = a[lo : lo + (1 << 20)], b[lo : lo + (1 << 20)]
+        for lo in range(0, len(a), 1 << 18):
+            x, y = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
+            joined = (low[x] == high[x]) & (low[y] == high[y]) & (low[x] == low[y])
+            x, y = x[~joined], y[~joined]
             differ, free = ands[level][x] ^ ands[level][y], loose[level][x] | loose[level][y]
-            near = np.bitwise_count(differ & ~free) <= radius
-            whole = near & (np.bitwise_count(differ | free) <= radius)
+            near = np.bitwise_count(differ & ~free).sum(1, dtype=np.int64) <= radius
+            whole = near & (np.bitwise_count(differ | free).sum(1, dtype=np.int64) <= radius)
             for p, q in ((x[whole], y[whole]), (y[whole], x[whole])):
                 size = end[q] - at[q]
-                start = np.repeat(at[q] - np.r_[0, np.cumsum(size)[:-1]], size) if len(size) else size
+                start = np.repeat(at[q] - (np.cumsum(size) - size), size)
                 left.append(np.repeat(at[p], size))
                 right.append(start + np.arange(size.sum()))
             kept_a.append(x[near & ~whole])
@@ -95,22 +116,24 @@ def radius_links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
         if level:
             m, (i, j) = len(cuts[level - 1]), np.indices((FAN, FAN)).reshape(2, -1)
             down_a, down_b = [], []
-            for lo in range(0, len(a), 1 << 15):
-                p = (a[lo : lo + (1 << 15), None] * FAN + i).ravel()
-                q = (b[lo : lo + (1 << 15), None] * FAN + j).ravel()
+            for lo in range(0, len(a), 1 << 14):
+                p = (a[lo : lo + (1 << 14), None] * FAN + i).ravel()
+                q = (b[lo : lo + (1 << 14), None] * FAN + j).ravel()
                 real = (p < m) & (q < m) & (p <= q)
                 down_a.append(p[real])
                 down_b.append(q[real])
             a, b = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (down_a, down_b))
     i, j = np.indices((LEAF, LEAF)).reshape(2, -1)
-    for lo in range(0, len(a), 1 << 12):
-        p = (a[lo : lo + (1 << 12), None] * LEAF + i).ravel()
-        q = (b[lo : lo + (1 << 12), None] * LEAF + j).ravel()
+    for lo in range(0, len(a), 1 << 11):
+        p = (a[lo : lo + (1 << 11), None] * LEAF + i).ravel()
+        q = (b[lo : lo + (1 << 11), None] * LEAF + j).ravel()
         real = (p < q) & (q < n)
         p, q = p[real], q[real]
-        near = np.bitwise_count(f[p] ^ f[q]) <= radius
-        left.append(p[near])
-        right.append(q[near])
+        near = distance(f[p], f[q]) <= radius
+        p, q = p[near], q[near]
+        apart = label[p] != label[q]
+        left.append(p[apart])
+        right.append(q[apart])
     left, right = (order[np.concatenate(s)] if s else np.zeros(0, np.int64) for s in (left, right))
     return left, right
 
@@ -123,7 +146,7 @@ def bucket_links(bucket: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np
     small = np.repeat(size <= SMALL, size)
     for step in range(1, int(min(SMALL, size.max(initial=0)))):
         p = np.flatnonzero((bucket[step:] == bucket[:-step]) & small[step:])
-        p = p[np.bitwise_count(codes[p] ^ codes[p + step]) <= radius]
+        p = p[distance(codes[p], codes[p + step]) <= radius]
         left.append(p)
         right.append(p + step)
     for c in np.flatnonzero(size > SMALL):
@@ -133,17 +156,36 @@ def bucket_links(bucket: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np
     return tuple(np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
 
 
-def radius_components(codes: DataFrame, radius: int) -> DataFrame:
-    """(node, component) of distinct (fp, node) rows, for those with a link: fingerprints at `radius` bits or fewer.
-
-    Cut into radius + 2 runs of bits, two such fingerprints agree in two runs at least, so tables keyed by each pair of
-    runs meet every link. A task holds many buckets and hands on one link a member (its local root), never all pairs.
-    """
+def exact_tables(radius: int) -> list[tuple[int, ...]]:
+    """Masks for 64 bits: cut into radius + 2 runs, two codes within the radius agree in two runs at least."""
     edges = np.linspace(0, 64, radius + 3).astype(int)
     runs = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges[:-1], edges[1:])]
-    masks = [int(np.uint64(x | y).view(np.int64)) for x, y in combinations(runs, 2)]
-    keyed = codes.select("fp", "node", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for t, m in enumerate(masks)])).alias("key"))
-    keyed = keyed.select("fp", "node", F.xxhash64("key.t", "key.bits").alias("key"))
+    return [(x | y,) for x, y in combinations(runs, 2)]
+
+
+def sampled_tables(lanes: int, n: int, apart: float, miss: float) -> list[tuple[int, ...]]:
+    """Masks of bits drawn at random, as many as make codes that differ in a share `apart` of their bits miss each other
+    in all tables with probability `miss`; a mask has about log2(n) - 3 bits, so that strangers rarely meet."""
+    bits = max(8, math.ceil(math.log2(max(2, n))) - 3)
+    tables = math.ceil(math.log(miss) / math.log1p(-((1 - apart) ** bits)))
+    draw, out = np.random.Generator(np.random.PCG64(7)), []
+    for _ in range(tables):
+        chosen = draw.permutation(64 * lanes)[:bits]
+        out.append(tuple(sum(1 << int(b % 64) for b in chosen if b // 64 == lane) for lane in range(lanes)))
+    return out
+
+
+def radius_components(codes: DataFrame, radius: int, tables: list[tuple[int, ...]]) -> DataFrame:
+    """(node, component) of distinct (fp0, ..., node) rows, for those that link: codes at `radius` bits or fewer.
+
+    Codes meet if the bits of a table's mask are equal. A task holds many such buckets and hands on one link a member
+    (its local root), never all pairs.
+    """
+    lanes = len(tables[0])
+    prints = [f"fp{i}" for i in range(lanes)]
+    signed = lambda m: int(np.uint64(m).view(np.int64))
+    keys = F.array(*[F.xxhash64(F.lit(t), *[F.col(p).bitwiseAND(F.lit(signed(m))) for p, m in zip(prints, masks)]) for t, masks in enumerate(tables)])
+    keyed = codes.select(*prints, "node", F.explode(keys).alias("key"))
     parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def link(batches):
@@ -151,9 +193,10 @@ def radius_components(codes: DataFrame, radius: int) -> DataFrame:
         if not rows:
             return
         table = pa.Table.from_batches(rows)
-        fp, node, key = (table.column(c).to_numpy() for c in ("fp", "node", "key"))
+        node, key = (table.column(c).to_numpy() for c in ("node", "key"))
+        fp = np.stack([table.column(c).to_numpy().view(np.uint64) for c in prints], 1)
         order = np.argsort(key, kind="stable")
-        p, q = bucket_links(key[order], fp[order].view(np.uint64), radius)
+        p, q = bucket_links(key[order], fp[order], radius)
         p, q = order[p], order[q]
         members, at = np.unique(node, return_inverse=True)
         label = tx.forest(len(members), at[p], at[q])
@@ -163,18 +206,25 @@ def radius_components(codes: DataFrame, radius: int) -> DataFrame:
     return components(keyed.repartition(parts, "key").mapInArrow(link, "a long, b long"))
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links).
+def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, miss: float = 0.02, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row a document: doc_id, fingerprint (16 hex digits a lane), component_id (smallest id reachable over links).
+
+    Fingerprints at `radius` bits or fewer link. With one lane of 64 bits and a radius up to 8 no link is lost. Beyond,
+    tables sample bits: two fingerprints that differ in three quarters of the radius, which is where documents of that
+    similarity lie on average, fail to meet with probability `miss` before other members of their group are counted.
 
     Equal fingerprints are one node; hence any number of copies costs one row in the index. Documents without words
     have fingerprint zero and link like others. A null id sorts before all ids and stands for its component as null;
     rows of equal id are one document each. An empty table gives an empty table; other columns are not read.
     """
     prepare(docs.sparkSession)
-    prints = shared_checkpoint(fingerprint_docs(docs, shingle, text, doc_id))
+    prints = [f"fp{i}" for i in range(lanes)]
+    rows = shared_checkpoint(fingerprint_docs(docs, shingle, lanes, text, doc_id))
     null = F.lit(tx.NULL_ID)
-    nodes = prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", null)).alias("node"))
-    found = radius_components(shared_checkpoint(nodes), radius)
+    nodes = shared_checkpoint(rows.groupBy(*prints).agg(F.min(F.coalesce("doc_id", null)).alias("node")))
+    tables = exact_tables(radius) if lanes == 1 and radius <= 8 else sampled_tables(lanes, nodes.count(), 0.75 * radius / (64 * lanes), miss)
+    found = radius_components(nodes, radius, tables)
     # two fingerprints may share a smallest id only if that id repeats; then they are one node
-    nodes = nodes.join(found, "node", "left").select("fp", F.nullif(F.coalesce("component", "node"), null).alias("component_id"))
-    return prints.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = nodes.join(found, "node", "left").select(*prints, F.nullif(F.coalesce("component", "node"), null).alias("component_id"))
+    text_of = F.concat(*[F.lower(F.lpad(F.hex(p), 16, "0")) for p in prints])
+    return rows.join(nodes, prints).select("doc_id", text_of.alias("fingerprint"), "component_id")
