@@ -77,13 +77,11 @@ def pack(docs: DataFrame, text: str = "text", limit: int = BLOCK_BYTES) -> DataF
 
         task, k = TaskContext.get().partitionId(), 0
         for batch in batches:
-            buf, off = tx.flat(batch.column(text))
-            for lo, hi in tx.chunks(off, limit):
-                part = buf[off[lo] : off[hi]]
-                words = len(tx.Words(part, off[lo : hi + 1] - off[lo]).starts)
+            for rows, part, off in tx.slices(batch, text, limit):
+                words = len(tx.Words(part, off).starts)
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array([(task << 32) | k], pa.int64()), "n_bytes": pa.array([len(part)], pa.int64()), "n_words": pa.array([words], pa.int64()),
-                    "payload": pa.array([payload_of(pa.Table.from_batches([batch.slice(lo, hi - lo)]))], pa.binary())})
+                    "payload": pa.array([payload_of(pa.Table.from_batches([rows]))], pa.binary())})
                 k += 1
 
     return shared_checkpoint(docs.mapInArrow(run, "block long, n_bytes long, n_words long, payload binary"))

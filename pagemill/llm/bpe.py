@@ -11,7 +11,7 @@ from . import textops as tx
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # Unicode White_Space, which \s means in the pre-tokeniser's pattern.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CACHE = 400_000
+CACHE = 200_000
 _classes: list[np.ndarray] = []
 
 

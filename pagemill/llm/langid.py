@@ -128,17 +128,16 @@ def predict(docs: DataFrame, by_lang: dict[str, np.ndarray], text: str = "text",
         filters = Filters(shared.value)
         names = np.array([*filters.langs, "und"], object)
         for batch in batches:
-            column = batch.column(text)
-            letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            buf, off = tx.flat(pc.utf8_lower(column))
-            best, score = np.full(len(off) - 1, len(filters.langs)), np.zeros(len(off) - 1)
-            for lo, hi in tx.chunks(off, 1 << 20) if filters.langs else []:
-                counts = filters.counts(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                best[lo:hi] = counts.argmax(1)
-                score[lo:hi] = counts.max(1) / np.maximum(counts.sum(1), 1e-9)
-            best[~letters], score[~letters] = len(filters.langs), 0.0
-            out = pa.Table.from_batches([batch]).append_column("lang_pred", pa.array(names[best], pa.string()))
-            yield from out.append_column("score", pa.array(np.clip(score, 0, 1))).to_batches()
+            for rows, _, _ in tx.slices(batch, text, 1 << 20):
+                column = rows.column(text)
+                letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+                best, score = np.full(len(letters), len(filters.langs)), np.zeros(len(letters))
+                if filters.langs:
+                    counts = filters.counts(*tx.flat(pc.utf8_lower(column)))
+                    best, score = counts.argmax(1), counts.max(1) / np.maximum(counts.sum(1), 1e-9)
+                best[~letters], score[~letters] = len(filters.langs), 0.0
+                out = pa.Table.from_batches([rows]).append_column("lang_pred", pa.array(names[best], pa.string()))
+                yield from out.append_column("score", pa.array(np.clip(score, 0, 1))).to_batches()
 
     return docs.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ from . import textops as tx
 from .bpe import Encoder
 from .session import prepare
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 
@@ -111,18 +111,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, end_id:
 
         encoder, base = Encoder(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
-            buf, off = tx.flat(batch.column("text"))
-            for lo, hi in tx.chunks(off, SHARD_BYTES):
-                own_buf, own = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                parts = [encoder.encode(own_buf[own[a] : own[b]], own[a : b + 1] - own[a]) for a, b in tx.chunks(own, 1 << 20)]
+            for rows, buf, off in tx.slices(batch, "text", SHARD_BYTES):
+                parts = [encoder.encode(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in tx.chunks(off, 1 << 19)]
                 tokens = np.concatenate([np.diff(o) for _, o in parts]) + 1
                 ids = np.concatenate([i for i, _ in parts])
                 at = np.r_[0, np.cumsum(tokens - 1)]
-                pieces = pack_shard(ShardIndex(own_buf, own), tokens, window)
+                pieces = pack_shard(ShardIndex(buf, off), tokens, window)
                 doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces))
                 blobs = [np.r_[ids[at[d] + s : min(at[d] + s + n, at[d + 1])], np.full(int(s + n == tokens[d]), end_id, np.uint32)].astype("<u4").tobytes() for d, s, n, _, _ in pieces]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(lo, hi - lo).take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length), "ids": pa.array(blobs, pa.binary()),
+                    "doc_id": rows.column("doc_id").take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length), "ids": pa.array(blobs, pa.binary()),
                     "doc_tokens": pa.array(tokens[doc]), "sequence_id": pa.array(base + sequence), "offset": pa.array(offset)})
                 base += int(sequence.max()) + 1
 

@@ -85,14 +85,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, text: str = "tex
 
     def featurise(batches):
         for batch in batches:
-            buf, off = tx.flat(batch.column("__text"))
-            for lo, hi in tx.chunks(off):
-                row, feat, value = features(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                cuts = np.searchsorted(row, np.arange(hi - lo + 1))
-                for d in range(hi - lo):
+            for rows, buf, off in tx.slices(batch, "__text", 1 << 20):
+                row, feat, value = features(buf, off)
+                cuts = np.searchsorted(row, np.arange(len(off)))
+                for d in range(len(off) - 1):
                     own = slice(cuts[d], cuts[d + 1])
                     yield pa.RecordBatch.from_pydict({
-                        "id": batch.column("__id").slice(lo + d, 1).cast(pa.int64()), "label": batch.column("__label").slice(lo + d, 1),
+                        "id": rows.column("__id").slice(d, 1).cast(pa.int64()), "label": rows.column("__label").slice(d, 1),
                         "feat": pa.array([feat[own].astype(np.int32).tobytes()], pa.binary()), "value": pa.array([value[own].astype(np.float32).tobytes()], pa.binary())})
 
     def fit(batches):
@@ -123,12 +122,10 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", doc_id: str
     def run(batches):
         w = shared.value.astype(float)
         for batch in batches:
-            buf, off = tx.flat(batch.column(text))
-            out = np.zeros(len(off) - 1)
-            for lo, hi in tx.chunks(off, 1 << 20):
-                row, feat, value = features(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                out[lo:hi] = np.bincount(row, w[feat] * value, hi - lo)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(doc_id).cast(pa.int64()), "score": pa.array(1 / (1 + np.exp(-(out + w[-1]))))})
+            for rows, buf, off in tx.slices(batch, text, 1 << 20):
+                row, feat, value = features(buf, off)
+                out = np.bincount(row, w[feat] * value, len(off) - 1)
+                yield pa.RecordBatch.from_pydict({"doc_id": rows.column(doc_id).cast(pa.int64()), "score": pa.array(1 / (1 + np.exp(-(out + w[-1]))))})
 
     return docs.select(doc_id, text).mapInArrow(run, "doc_id long, score double")
 

@@ -25,12 +25,10 @@ def fingerprint_docs(docs: DataFrame, shingle: int = 4, lanes: int = 1, text: st
 
     def run(batches):
         for batch in batches:
-            buf, off = tx.flat(batch.column(text))
-            out = np.zeros((len(off) - 1, lanes), np.uint64)
-            for lo, hi in tx.chunks(off):
-                out[lo:hi] = fingerprints(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], shingle, lanes)
-            columns = {"doc_id": batch.column(doc_id).cast(pa.int64())}
-            yield pa.RecordBatch.from_pydict(columns | {f"fp{i}": pa.array(out[:, i].view(np.int64)) for i in range(lanes)})
+            for rows, buf, off in tx.slices(batch, text):
+                out = fingerprints(buf, off, shingle, lanes)
+                columns = {"doc_id": rows.column(doc_id).cast(pa.int64())}
+                yield pa.RecordBatch.from_pydict(columns | {f"fp{i}": pa.array(np.ascontiguousarray(out[:, i]).view(np.int64)) for i in range(lanes)})
 
     return docs.select(doc_id, text).mapInArrow(run, "doc_id long, " + ", ".join(f"fp{i} long" for i in range(lanes)))
 

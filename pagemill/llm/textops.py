@@ -149,6 +149,14 @@ def chunks(off: np.ndarray, limit: int = 4 << 20):
         lo = min(hi, n)
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+    """(rows, bytes, offsets) of about `limit` text bytes each, so that only a slice of a batch is copied at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in chunks(np.r_[0, np.cumsum(sizes, dtype=np.int64)], limit):
+        rows = batch.slice(lo, hi - lo)
+        yield rows, *flat(rows.column(column))
+
+
 def covered(starts: np.ndarray, size, n: int) -> np.ndarray:
     """Positions of 0..n-1 covered by spans [start, start + size)."""
     change = np.bincount(starts, minlength=n + 1)
