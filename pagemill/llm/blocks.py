@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import textops as tx
 from .session import shared_checkpoint
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 RANGE_KEYS = 1 << 21
 
 

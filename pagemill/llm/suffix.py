@@ -18,8 +18,9 @@ from . import textops as tx
 from .blocks import expand, gaps, get_arrays, is_repeated, pack, put_arrays, repeated_keys, squeeze, table_of, with_blocks
 from .session import prepare
 
-PART_BYTES = 4 << 20
-SHARD_BYTES = 2 << 20
+PART_BYTES = 16 << 20  # of candidate strings, as blocks send them to one task
+SHARE_BITS = 4  # a task takes its part in so many bits of shares
+SHARD_BYTES = 1 << 20
 
 
 def _words_at(buf: np.ndarray) -> np.ndarray:
@@ -182,16 +183,28 @@ def dedup_bytes(docs: DataFrame, length: int = 50, k: int = 24, text: str = "tex
                 cuts = np.searchsorted(key >> np.uint64(64 - part_bits), np.arange((1 << part_bits) + 1, dtype=np.uint64))
                 for p in np.flatnonzero(np.diff(cuts)):
                     o = slice(cuts[p], cuts[p + 1])
-                    blob = put_arrays(gaps(owner[o]), count[o].astype(np.int32), _gather(buf, start[o], count[o] + length - 1))
+                    share = (key[o] >> np.uint64(64 - part_bits - SHARE_BITS)) & np.uint64((1 << SHARE_BITS) - 1)
+                    sizes = np.bincount(share.astype(np.int64), minlength=1 << SHARE_BITS).astype(np.int32)
+                    blob = put_arrays(gaps(owner[o]), count[o].astype(np.int32), _gather(buf, start[o], count[o] + length - 1), sizes)
                     yield pa.RecordBatch.from_pydict({"part": pa.array([int(p)], pa.int32()), "block": pa.array([block], pa.int64()), "found": pa.array([blob], pa.binary())})
 
     def earlier(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [get_arrays(x) for x in pdf["found"]]
-        owner = np.concatenate([np.cumsum(p[0]) for p in parts])
-        count = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        late = earlier_strings(np.concatenate([p[2] for p in parts]), owner, count, length)
-        cuts = np.cumsum([p[1].sum() for p in parts])[:-1]
-        return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "n": [int(p[1].sum()) for p in parts], "late": [squeeze(np.packbits(x).tobytes()) for x in np.split(late, cuts)]})
+        owners, counts, texts = [np.cumsum(p[0]) for p in parts], [p[1].astype(np.int64) for p in parts], [p[2] for p in parts]
+        rows = [np.r_[0, np.cumsum(p[3])] for p in parts]  # where each share begins
+        bytes_at = [np.r_[0, np.cumsum(c + length - 1)] for c in counts]
+        late: list[list[np.ndarray]] = [[] for _ in parts]
+        for share in range(1 << SHARE_BITS):
+            own = [slice(r[share], r[share + 1]) for r in rows]
+            held = [t[at[o.start] : at[o.stop]] for t, at, o in zip(texts, bytes_at, own)]
+            count = np.concatenate([c[o] for c, o in zip(counts, own)])
+            if not len(count):
+                continue
+            bits = earlier_strings(np.concatenate(held), np.concatenate([x[o] for x, o in zip(owners, own)]), count, length)
+            for to, x in zip(late, np.split(bits, np.cumsum([c[o].sum() for c, o in zip(counts, own)])[:-1])):
+                to.append(x)
+        late = [np.concatenate(x) if x else np.zeros(0, bool) for x in late]
+        return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "n": [len(x) for x in late], "late": [squeeze(np.packbits(x).tobytes()) for x in late]})
 
     found = with_blocks(packed, masks).mapInArrow(candidates, "part int, block long, found binary")
     said = found.groupBy("part").applyInPandas(earlier, "block long, part int, n int, late binary")
