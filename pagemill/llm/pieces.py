@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,6 @@ class PieceModel:
         plain = [i for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
         self.id = {self.pieces[i]: i for i in plain}
         self.score = {self.pieces[i]: lib.get_score(i) for i in plain}
-        self.longest = max(map(len, self.id), default=1)
         self.unk = lib.unk_id()
         self.unk_score = min(self.score.values(), default=0.0) - 10
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if lib.is_byte(i)}
@@ -76,36 +76,54 @@ class PieceModel:
         joins = any(MARK in p.lstrip(MARK) for p in self.id)
         self.words = re.compile(r"(?s).+" if joins else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.follows: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.last: dict[str, tuple[str, str] | None] = {}
+        self.rank = {p: r for r, p in enumerate(sorted((p for p in self.id if len(p) > 1), key=lambda p: (-self.score[p], self.id[p])))}
+        self.tails = {p[i:] for p in self.id for i in range(len(p))}
         raw = [b"" if lib.is_control(i) else b" \xe2\x81\x87 " if lib.is_unknown(i) else bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.raw = raw
         self.dummy = bool(dict(_fields(next((v for k, v in top if k == 3), b""))).get(3, 1))
         codecs.register_error("pieces", _byte_marks)
 
-    def _merge(self, text: str) -> list[str]:
-        """Plain BPE merges of a short text: best score first, then leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.score.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=None)
-            if best is None or best[0] == -np.inf:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def _is_whole(self, piece: str) -> bool:
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = len(piece) == 1 or (piece in self.id and self._merge(piece) == [piece])
+    def _order(self, piece: str) -> int:
+        """When BPE makes a piece: earlier ones have smaller numbers, single characters are there from the start."""
+        return self.rank[piece] if len(piece) > 1 else -1
+
+    def _parts(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that BPE merges last into a piece; None if it never makes the piece."""
+        found = self.last.get(piece, "")
+        if found == "":
+            symbols = list(piece)
+            while len(symbols) > 2:
+                best = max(((self.score.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(symbols, symbols[1:]))), default=None)
+                if best[0] == -np.inf:
+                    break
+                i = -best[1]
+                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            found = self.last[piece] = tuple(symbols) if len(symbols) == 2 else None
         return found
 
     def _can_follow(self, left: str, right: str) -> bool:
+        """Whether BPE leaves the border between two pieces alone: their merges are undone, the latest first, and each
+        time the pieces then at the border must not merge before the merge just undone. Of equal merges the left one
+        goes first."""
         key = (left, right)
         found = self.follows.get(key)
         if found is None:
+            rank, limit, found = self.rank, 1 << 60, True
+            while True:
+                if rank.get(left + right, limit) < limit:
+                    found = False
+                    break
+                a, b = self._order(left) if left in rank else -1, self._order(right) if right in rank else -1
+                if a < 0 and b < 0:
+                    break
+                if a > b:
+                    limit, left = a, self._parts(left)[1]
+                else:
+                    limit, right = b + 1, self._parts(right)[0]
             if len(self.follows) > 4 * CACHE:
                 self.follows.clear()
-            found = self.follows[key] = self._merge(left + right) == [left, right]
+            self.follows[key] = found
         return found
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -126,20 +144,24 @@ class PieceModel:
         return out
 
     def _step(self, word: str, end: int, state) -> tuple[float, str]:
-        best = None
-        for start in range(max(0, end - self.longest), end):
+        found, tails, ids = [], self.tails, self.id
+        for start in range(end - 1, -1, -1):
             piece = word[start:end]
-            if piece in self.id:
-                if self.kind == UNIGRAM:
-                    total = state[start][0] + self.score[piece]
-                    if best is None or total > best[0]:
-                        best = (total, piece)
-                elif self._is_whole(piece) and (not start or self._can_follow(state[start][1], piece)):
+            if piece not in tails:  # then nothing longer is a piece either
+                break
+            if piece in ids:
+                found.append((start, piece))
+        char = word[end - 1 : end]
+        if self.kind == BPE:
+            for start, piece in reversed(found):
+                if (not start or self._can_follow(state[start][1], piece)) and (len(piece) == 1 or self._parts(piece)):
                     return 0.0, piece
-            elif end - start == 1:
-                total = state[start][0] + self.unk_score
-                if self.kind == BPE or best is None or total > best[0]:
-                    best = (total, piece)
+            return 0.0, char
+        best = None if char in ids else (state[end - 1][0] + self.unk_score, char)
+        for start, piece in reversed(found):
+            total = state[start][0] + self.score[piece]
+            if best is None or total > best[0]:
+                best = (total, piece)
         return best
 
     def _ids(self, piece: str) -> list[int]:
@@ -158,7 +180,7 @@ class PieceModel:
                 memory.clear()
                 fresh = sorted({w for ws in cut for w in ws})
             for word, ids in zip(fresh, self.encode_words(fresh)):
-                memory[word] = np.array(ids, "<u4").tobytes()
+                memory[word] = array("I", ids).tobytes()
             return cut
 
         def encode(texts: list[str]) -> list[bytes]:

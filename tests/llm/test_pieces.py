@@ -34,7 +34,7 @@ def test_unigram_cuts_have_the_best_score():
     vocabulary = {MARK, "a", "b", "ab", "ba", "aab", MARK + "a", "bab", "abab"}
     model.id = {p: i for i, p in enumerate(sorted(vocabulary))}
     model.score = {p: -r.uniform(1, 9) for p in vocabulary}
-    model.longest, model.unk_score = 4, -40.0
+    model.unk_score, model.tails = -40.0, {p[i:] for p in vocabulary for i in range(len(p))}
 
     def best(word):
         if not word:
