@@ -16,6 +16,7 @@ SIZES = (3, 5)
 HASHES = 2
 CELL_BITS = 20
 GRAMS = 30_000
+LANGUAGES = 256  # at most so many are learnt, the commonest
 
 # ASCII bytes that are no letters count as one separator.
 FOLD = np.full(256, 32, np.uint8)
@@ -80,26 +81,24 @@ def learn(docs: DataFrame, per_lang: int = 1500, text: str = "text", lang: str =
     spark = prepare(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
 
-    def fewest(batches):
-        best: dict = {}
-        for batch in batches:
-            frame = batch.to_pandas()
-            for name, part in frame.groupby("lang"):
-                old = best.get(name)
-                best[name] = (part if old is None else pd.concat([old, part])).nsmallest(per_lang, ["h", "doc_id"])
-        for part in best.values():
-            yield pa.RecordBatch.from_pandas(part[["doc_id", "lang", "h"]], preserve_index=False)
-
-    chosen = known.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("h")).mapInArrow(fewest, "doc_id long, lang string, h long")
-    chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_lang)
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
+    sizes = known.groupBy(F.col(lang).alias("__lang")).count().orderBy(F.desc("count"), "__lang").limit(LANGUAGES)
+    draw = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 40)) / (1 << 40)
+    chosen = known.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("__lang"), draw.alias("h")).join(F.broadcast(sizes), "__lang")
+    # slightly more than are wanted, evenly drawn, so that the exact cut sees few rows whatever a language's size
+    chosen = chosen.where(F.col("h") * F.col("count") < per_lang + 4 * per_lang**0.5 + 8)
+    chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy("__lang").orderBy("h", "__id"))).where(F.col("k") <= per_lang)
+    chosen = chosen.select("__id", "__lang").distinct()
     sample = known.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("__lang"), F.col(text).alias("__text")).join(chosen, ["__id", "__lang"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        buf, off = tx.flat(pc.utf8_lower(pa.array(pdf["__text"], pa.string())))
+        rows = pa.RecordBatch.from_arrays([pc.utf8_lower(pa.array(pdf["__text"], pa.string()))], ["t"])
         codes, numbers, totals = [], [], []
         for size in SIZES:
-            code, number = np.unique(grams(buf, off, size)[1], return_counts=True)
+            code, number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for _, buf, off in tx.slices(rows, "t", 1 << 19):  # counts add up slice by slice
+                more, times = np.unique(grams(buf, off, size)[1], return_counts=True)
+                code, at = np.unique(np.concatenate([code, more]), return_inverse=True)
+                number = np.bincount(at, np.concatenate([number, times]), len(code)).astype(np.int64)
             keep = np.argsort(-number, kind="stable")[:GRAMS]
             codes.append(code[keep])
             numbers.append(number[keep])

@@ -8,12 +8,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH, ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Give the checkpoint folder to the context, and let Python workers find this package where the driver did.
 
     The folder is the one that the cluster names in spark.checkpoint.dir; only a local session without that setting gets
-    a folder of its own.
+    a folder of its own. Arrow batches get at most ROWS_A_BATCH rows unless the session says otherwise, for texts are long.
     """
     sc = spark.sparkContext
     root = str(Path(__file__).resolve().parents[2])
@@ -25,6 +27,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagemill-checkpoint-"))
+    if spark.conf.get(BATCH) == "10000":  # Spark's own default
+        spark.conf.set(BATCH, str(ROWS_A_BATCH))
     return spark
 
 
