@@ -5,11 +5,12 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import NO_HEADING_BULLETS
+from ..functions.text import NO_HEADING_BULLETS, extension_of
 from ..kernel import layout as kernel
 from ..session import importable
 
 PAGE_KEYS = ("doc_id", "page")
+PAGE_KEYS_RANK = ("doc_id", "page", "rank")
 LINE_SCHEMA = "doc_id string, page int, line_ord int, text string, x float, y float, font_size float, bold boolean"
 SAME_ROW = 6.0
 LOW_CONFIDENCE = 0.4
@@ -77,7 +78,7 @@ def array_statistics(sizes: Column) -> Column:
     distinct = F.array_distinct(keys)
     best = F.array_max(F.transform(distinct, lambda k: F.struct(F.size(F.filter(keys, lambda x: x == k)).alias("n"), k.alias("key"))))["key"]
     body = F.coalesce(best, F.lit(120))
-    return F.struct((body / 10).alias("body_size"), _heading_sizes(distinct, body).alias("heading_sizes"))
+    return F.struct((body / 10).alias("body_size"), _heading_sizes(distinct, body).alias("heading_sizes")).cast("struct<body_size:double,heading_sizes:array<double>>")
 
 
 def heading_level(size: Column, strong: Column, body: Column, heading_sizes: Column) -> Column:
@@ -136,6 +137,35 @@ def page_lines(parsed: DataFrame) -> DataFrame:
 
 
 BLOCK = "struct<at:struct<down:float,rank:int,ord:int>,type:string,text:string,heading_level:int,cells:array<array<string>>,resource_id:string,width:int,height:int>"
+ELEMENT = "struct<rank:int,ord:int,line:struct<text:string,x:float,y:float,font_size:float,bold:boolean>,block:" + BLOCK + ">"
+
+
+def _block(rank: int, order: Column, down: Column, kind: str, text: Column, cells: Column, image: Column | None = None) -> Column:
+    none = F.lit(None)
+    at = F.struct(down.cast("float").alias("down"), F.lit(rank).alias("rank"), order.cast("int").alias("ord"))
+    picture = [image[c].alias(c) for c in ("resource_id", "width", "height")] if image is not None else [none.alias(c) for c in ("resource_id", "width", "height")]
+    return F.struct(at.alias("at"), F.lit(kind).alias("type"), text.alias("text"), F.lit(0).alias("heading_level"), cells.alias("cells"), *picture).cast(BLOCK)
+
+
+def _element(rank: int, order: Column, line: Column, block: Column) -> Column:
+    return F.struct(F.lit(rank).alias("rank"), order.cast("int").alias("ord"), line.alias("line"), block.alias("block")).cast(ELEMENT)
+
+
+def _elements(content: Column, page: Column) -> Column:
+    """All elements of a page row, tables 0, rows of unsure tables 1, lines 2, plain lines 3, images 4."""
+    none = F.lit(None)
+
+    def flat_rows(t, k):
+        step = (t["top"] - t["bottom"]) / F.greatest(F.size(t["cells"]) - 1, F.lit(1))
+        row = lambda cells, r: _element(1, k * 10000 + r, none, _block(1, k * 10000 + r, r * step - t["top"], "paragraph", F.array_join(F.filter(cells, lambda c: c != ""), "  "), none))
+        return F.filter(F.transform(t["cells"], row), lambda e: F.trim(e["block"]["text"]) != "")
+
+    one_table = lambda t, k: F.when(t["confidence"] >= LOW_CONFIDENCE, F.array(_element(0, k, none, _block(0, k, -t["top"], "table", none, t["cells"])))).otherwise(flat_rows(t, k))
+    tables = F.flatten(F.transform(content["tables"], one_table))
+    lines = F.transform(content["lines"], lambda x, k: _element(2, k, x, none))
+    plain = F.when(content["fallback"].isNotNull(), F.array(_element(3, F.lit(0), none, _block(3, F.lit(0), F.lit(0.0), "paragraph", content["fallback"], none)))).otherwise(F.array().cast(f"array<{ELEMENT}>"))
+    images = F.transform(shown_images(content["images"], page), lambda i, k: _element(4, k, none, _block(4, k, F.lit(0.0), "image", none, none, i)))
+    return F.concat(tables, lines, plain, images)
 
 
 def page_blocks(parsed: DataFrame) -> DataFrame:
@@ -143,33 +173,24 @@ def page_blocks(parsed: DataFrame) -> DataFrame:
 
     Pages with tables are ordered by height, and paragraphs of one visual row become one; other pages keep the reading
     order of their lines. Tables of low confidence are a paragraph a row. Images come last. A page without any of these
-    gets its plain lines as one paragraph.
+    gets its plain lines as one paragraph. One pass over the parsed rows, one shuffle on (doc_id, page).
     """
-    page = parsed.where("kind = 'page'")
-    none = lambda kind: F.lit(None).cast(kind)
-
-    def block(rank, order, down, kind, text, level, cells):
-        at = F.struct(down.cast("float").alias("down"), F.lit(rank).alias("rank"), order.cast("int").alias("ord"))
-        return F.struct(at.alias("at"), F.lit(kind).alias("type"), text.alias("text"), level.cast("int").alias("heading_level"), cells.alias("cells"), none("string").alias("resource_id"), none("int").alias("width"), none("int").alias("height"))
-
-    no_cells = none("array<array<string>>")
-    tables = page.select("doc_id", "page", F.posexplode("content.tables").alias("k", "t"))
-    sure = tables.where(F.col("t.confidence") >= LOW_CONFIDENCE).select("doc_id", "page", block(0, F.col("k"), -F.col("t.top"), "table", none("string"), F.lit(0), F.col("t.cells")).alias("b"))
-    unsure = tables.where(F.col("t.confidence") < LOW_CONFIDENCE).select("doc_id", "page", "k", "t", F.posexplode("t.cells").alias("row", "cells"))
-    step = (F.col("t.top") - F.col("t.bottom")) / F.greatest(F.size("t.cells") - 1, F.lit(1))
-    flat = F.array_join(F.filter("cells", lambda c: c != ""), "  ")
-    unsure = unsure.select("doc_id", "page", block(1, F.col("k") * 10000 + F.col("row"), F.col("row") * step - F.col("t.top"), "paragraph", flat, F.lit(0), no_cells).alias("b")).where(F.trim("b.text") != "")
-    text = text_blocks(mark_headings(page_lines(parsed))).where(F.regexp_replace("text", r"(?U)\s", "") != "")
-    text = text.select("doc_id", "page", block(2, F.col("block_ord"), -F.col("y"), "paragraph", F.col("text"), F.col("heading_level"), no_cells).alias("b"))
-    fallback = page.where(F.col("content.fallback").isNotNull()).select("doc_id", "page", block(2, F.lit(0), F.lit(0.0), "paragraph", F.col("content.fallback"), F.lit(0), no_cells).alias("b"))
-    found = sure.unionByName(unsure).unionByName(text).unionByName(fallback).groupBy("doc_id", "page").agg(F.collect_list("b").alias("all"))
+    page = parsed.where("kind = 'page'").select("doc_id", "page", array_statistics(F.col("content.sizes")).alias("s"), F.explode(_elements(F.col("content"), F.col("page"))).alias("e"))
+    rows = page.select("doc_id", "page", F.col("s.body_size").alias("body_size"), F.col("s.heading_sizes").alias("heading_sizes"), "e.rank", F.col("e.ord").alias("line_ord"), "e.line.*", "e.block")
+    keys = (*PAGE_KEYS, "rank")
+    rows = number_blocks(mark_headings(rows, PAGE_KEYS_RANK), PAGE_KEYS_RANK)
+    lines = F.sort_array(F.collect_list(F.struct("line_ord", "text", "y")))
+    found = rows.groupBy(*keys, F.when(F.col("rank") == 2, F.col("block_ord")).otherwise(F.col("line_ord")).alias("ord")).agg(
+        lines.alias("own"), F.first("block").alias("block"), F.coalesce(F.min(F.when(F.col("heading_level") > 0, F.col("heading_level"))), F.lit(0)).alias("heading_level"))
+    text = F.array_join(F.transform("own", lambda x: x["text"]), " ")
+    made = _block(2, F.col("ord"), -F.col("own")[0]["y"], "paragraph", text, F.lit(None)).withField("heading_level", F.col("heading_level"))
+    found = found.where((F.col("rank") != 2) | (F.regexp_replace(text, r"(?U)\s", "") != "")).select("doc_id", "page", F.when(F.col("rank") == 2, made).otherwise(F.col("block")).alias("b"))
+    found = found.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("b")).alias("all"))
+    body, images = F.filter("all", lambda b: b["at"]["rank"] < 4), F.filter("all", lambda b: b["at"]["rank"] == 4)
     tabled = F.exists("all", lambda b: b["at"]["rank"] < 2)
-    flow = F.array_sort("all", lambda a, b: F.when(a["at"]["ord"] < b["at"]["ord"], -1).otherwise(1))
-    found = found.select("doc_id", "page", F.when(tabled, merge_rows(F.array_sort("all"))).otherwise(flow).alias("all"))
-    body = found.select("doc_id", "page", F.posexplode("all").alias("k", "b")).select("doc_id", "page", F.struct(F.lit(0).alias("part"), F.col("k")).alias("at"), "b.type", "b.text", "b.heading_level", "b.cells", "b.resource_id", "b.width", "b.height")
-    pictures = page_images(parsed).select("doc_id", "page", F.struct(F.lit(1).alias("part"), F.col("ord").alias("k")).alias("at"), F.lit("image").alias("type"), none("string").alias("text"), F.lit(0).alias("heading_level"), no_cells.alias("cells"), "resource_id", "width", "height")
-    order = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("at")) - 1
-    return body.unionByName(pictures).withColumn("block_ord", order.cast("int")).drop("at")
+    flow = F.array_sort(body, lambda a, b: F.when(a["at"]["ord"] < b["at"]["ord"], -1).when(a["at"]["ord"] > b["at"]["ord"], 1).otherwise(0))
+    found = found.select("doc_id", "page", F.concat(F.when(tabled, merge_rows(body)).otherwise(flow), F.array_sort(images, lambda a, b: a["at"]["ord"] - b["at"]["ord"])).alias("all"))
+    return found.select("doc_id", "page", F.posexplode("all").alias("block_ord", "b")).select("doc_id", "page", "block_ord", "b.type", "b.text", "b.heading_level", "b.cells", "b.resource_id", "b.width", "b.height")
 
 
 def merge_rows(blocks: Column) -> Column:
@@ -185,11 +206,14 @@ def merge_rows(blocks: Column) -> Column:
     return F.aggregate(blocks, F.array().cast(f"array<{BLOCK}>"), lambda acc, b: F.when(F.size(acc) == 0, F.array(b)).otherwise(step(acc, b)))
 
 
-def page_images(parsed: DataFrame, least: int = 64) -> DataFrame:
-    """Images that a viewer can show, with their resource ids; those known to be under `least` pixels are left out."""
-    from ..functions.text import extension_of
-    from ..sources.pdf import images
+def shown_images(images: Column, page: Column, least: int = 64) -> Column:
+    """Of an array of images those that a viewer can show, with their resource ids; those known to be small are left out."""
+    named = lambda i: i.withField("extension", extension_of(i["mime"])).withField("resource_id", F.concat(F.lit("page"), page.cast("string"), F.lit("_"), i["name"], F.lit("."), extension_of(i["mime"])))
+    large = lambda i: i["width"].isNull() | i["height"].isNull() | (F.least(i["width"], i["height"]) >= least)
+    return F.filter(F.transform(images, named), lambda i: i["mime"].startswith("image/") & ~i["extension"].isin("raw", "bin") & large(i))
 
-    found = images(parsed).withColumn("extension", extension_of(F.col("mime"))).where(F.col("mime").startswith("image/") & ~F.col("extension").isin("raw", "bin"))
-    small = F.col("width").isNotNull() & F.col("height").isNotNull() & (F.least("width", "height") < least)
-    return found.where(~small).withColumn("resource_id", F.concat(F.lit("page"), F.col("page").cast("string"), F.lit("_"), "name", F.lit("."), "extension"))
+
+def page_images(parsed: DataFrame, least: int = 64) -> DataFrame:
+    """A row for each image of shown_images."""
+    rows = parsed.where("kind = 'page'").select("doc_id", "page", F.posexplode(shown_images(F.col("content.images"), F.col("page"), least)).alias("ord", "i"))
+    return rows.select("doc_id", "page", "ord", "i.*")

@@ -92,11 +92,14 @@ def _joined(pieces: DataFrame, separator: str = "") -> DataFrame:
     return own.select("doc_id", F.array_join(F.transform("own", lambda x: x["piece"]), separator).alias("body"))
 
 
-def form_section(parsed: DataFrame) -> DataFrame:
-    """(doc_id, form): the form fields as a Markdown section."""
-    shown = F.when(F.col("display") == "", "_(empty)_").otherwise(F.col("display"))
-    rows = pdf.form_fields(parsed).select("doc_id", F.lit(0).alias("page"), "ord", F.concat(F.lit("- **"), "name", F.lit("**: "), shown, F.lit("\n")).alias("piece"))
-    return _joined(rows).select("doc_id", F.concat(F.lit("\n---\n\n## Form Fields\n\n"), "body").alias("form"))
+def form_section(fields: Column) -> Column:
+    """The form fields of a document row as a Markdown section; nothing if there are none."""
+
+    def line(f: Column) -> Column:
+        shown = pdf.display(f)
+        return F.concat(F.lit("- **"), f["name"], F.lit("**: "), F.when(shown == "", "_(empty)_").otherwise(shown), F.lit("\n"))
+
+    return F.when(F.size(fields) > 0, F.concat(F.lit("\n---\n\n## Form Fields\n\n"), F.array_join(F.transform(fields, line), ""))).otherwise("")
 
 
 def markdown(parsed: DataFrame, blocks: DataFrame, options: RenderOptions | None = None) -> DataFrame:
@@ -106,11 +109,10 @@ def markdown(parsed: DataFrame, blocks: DataFrame, options: RenderOptions | None
     if options.page_markers:
         marks = _selected(parsed.where("kind = 'page'"), options).select("doc_id", "page", F.lit(-1).alias("ord"), F.format_string("<!-- page %d -->\n\n", "page").alias("piece"))
         pieces = pieces.unionByName(marks)
-    meta = pdf.metadata(parsed)
-    out = meta.join(_joined(pieces), "doc_id", "left").join(form_section(parsed), "doc_id", "left")
-    empty = F.lit("")
-    head = tf.frontmatter(F.col("title"), F.col("author"), F.col("keywords"), F.col("page_count")) if options.include_frontmatter else empty
-    body = F.concat(head, F.coalesce("body", empty), F.coalesce("form", empty))
+    d, empty = F.col("document"), F.lit("")
+    head = tf.frontmatter(d["title"], d["author"], d["keywords"], d["page_count"]) if options.include_frontmatter else empty
+    out = parsed.where("kind = 'document'").select("doc_id", head.alias("head"), form_section(d["fields"]).alias("form")).join(_joined(pieces), "doc_id", "left")
+    body = F.concat("head", F.coalesce("body", empty), "form")
     body = cleanup.clean(body, options.cleanup) if options.cleanup else body
     return out.select("doc_id", cleanup.trim(body).alias("markdown"))
 

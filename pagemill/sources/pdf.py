@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_pdf, pdf_date, pdf_version
@@ -103,12 +103,17 @@ def outline(parsed: DataFrame) -> DataFrame:
     return parsed.where("kind = 'document'").select("doc_id", F.explode("document.outline").alias("o")).select("doc_id", "o.*")
 
 
-def form_fields(parsed: DataFrame) -> DataFrame:
-    """Fields with their display value: the value, else the default; boxes, and choices joined by a comma."""
-    out = parsed.where("kind = 'document'").select("doc_id", F.posexplode("document.fields").alias("ord", "f")).select("doc_id", "ord", "f.*")
-    v = F.coalesce("value", "default")
+def display(field: Column) -> Column:
+    """A field's value, else its default; boxes as [x] or [ ], choices joined by a comma."""
+    v = F.coalesce(field["value"], field["default"])
     shown = F.when(v["kind"] == "boolean", F.when(v["bool"], "[x]").otherwise("[ ]")).when(v["kind"] == "choices", F.array_join(v["choices"], ", ")).otherwise(v["text"])
-    return out.withColumn("display", F.coalesce(shown, F.lit("")))
+    return F.coalesce(shown, F.lit(""))
+
+
+def form_fields(parsed: DataFrame) -> DataFrame:
+    """A row for each field, with its display value."""
+    out = parsed.where("kind = 'document'").select("doc_id", F.posexplode("document.fields").alias("ord", "f"))
+    return out.select("doc_id", "ord", "f.*", display(F.col("f")).alias("display"))
 
 
 def errors(parsed: DataFrame) -> DataFrame:
