@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import numpy as np
@@ -66,16 +67,49 @@ def pretoken_starts(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark[:n])
 
 
+def _byte_merger(model: dict):
+    """A function from a pre-token's bytes to ids, if ids grow with the merges and every byte has one; else None."""
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    vocab = model.get("vocab", {})
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    order = [vocab.get(a + b, -1) for a, b in merges]
+    # how byte-level vocabularies write a byte: itself if it prints, else the next free character from 256 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    back = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    if model.get("type") != "BPE" or model.get("ignore_merges") or model.get("dropout") or order != sorted(set(order)) or not all(c in vocab for c in back) or (order and max(vocab[c] for c in back) > order[0]):
+        return None
+    ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token)}
+    return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class Encoder:
     """Ids of documents in flat text, as the tokenizer file gives them without special tokens being added."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self._library = path, None
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        self.special = [t["content"].encode() for t in found.get("added_tokens", [])]
+        self.merge = _byte_merger(found["model"])
         self._reset()
 
+    @property
+    def library(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
+    def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens: by merges over bytes if the vocabulary allows it, else by the library."""
+        if self.merge:
+            return [self.merge(p) for p in pieces]
+        return [e.ids for e in self.library.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
+
     def _reset(self):
         self.place: dict[int, int] = {}
         self.pool, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -87,7 +121,7 @@ class Encoder:
         at = np.array([self.place.get(h, -1) for h in hashes.tolist()], np.int64)
         fresh = np.flatnonzero(at < 0)
         if len(fresh):
-            found = [e.ids for e in self.tokenizer.encode_batch(pieces(fresh), add_special_tokens=False)]
+            found = self._pieces(pieces(fresh))
             sizes = np.array([len(x) for x in found], np.int64)
             begin = len(self.pool) + np.cumsum(sizes) - sizes
             self.pool = np.concatenate([self.pool, np.array([i for x in found for i in x], np.uint32)])
@@ -107,7 +141,7 @@ class Encoder:
             keep = np.repeat(plain, np.diff(off))
             some, some_off = self.encode_plain(buf[keep], np.r_[0, np.cumsum(np.diff(off) * plain)])
             rows = [some[a:b] for a, b in zip(some_off[:-1], some_off[1:])]
-            for d, e in zip(odd, self.tokenizer.encode_batch([texts[d] for d in odd], add_special_tokens=False)):
+            for d, e in zip(odd, self.library.encode_batch([texts[d] for d in odd], add_special_tokens=False)):
                 rows[d] = np.array(e.ids, np.uint32)
             return np.concatenate(rows), np.r_[0, np.cumsum([len(r) for r in rows])]
         return self.encode_plain(buf, off)
@@ -121,7 +155,7 @@ class Encoder:
         ends = np.r_[starts[1:], len(buf)]
         hashes, first, which = np.unique(tx.span_hash(buf, starts, ends), return_index=True, return_inverse=True)
         data = buf.tobytes()
-        entry = self._entries(hashes, lambda at: [data[starts[i] : ends[i]].decode() for i in first[at].tolist()])[which]
+        entry = self._entries(hashes, lambda at: [data[a:b] for a, b in zip(starts[first[at]].tolist(), ends[first[at]].tolist())])[which]
         size = self.size[entry]
         total = np.cumsum(size)
         ids = self.pool[np.arange(total[-1]) + np.repeat(self.begin[entry] - (total - size), size)]
