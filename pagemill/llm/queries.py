@@ -10,7 +10,13 @@ from .session import prepare
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
+    return _spread(prepare(spark).read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text"))))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Over at least as many tasks as there are cores: a scan of few row groups is dealt out once, others stay."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

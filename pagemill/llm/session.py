@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH, ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+# Python workers give the memory of large arrays back at once, instead of keeping it for later ones.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "2"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -22,6 +24,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in [root, *paths] if p)
+    for name, value in WORKERS.items():
+        sc.environment.setdefault(name, value)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):

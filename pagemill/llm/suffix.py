@@ -18,8 +18,8 @@ from . import textops as tx
 from .blocks import expand, gaps, get_arrays, is_repeated, pack, put_arrays, repeated_keys, squeeze, table_of, with_blocks
 from .session import prepare
 
-PART_BYTES = 16 << 20  # of candidate strings, as blocks send them to one task
-SHARE_BITS = 4  # a task takes its part in so many bits of shares
+PART_BYTES = 8 << 20  # of candidate strings, as blocks send them to one task
+SHARE_BITS = 3  # a task takes its part in so many bits of shares
 SHARD_BYTES = 1 << 20
 
 
@@ -207,7 +207,8 @@ def dedup_bytes(docs: DataFrame, length: int = 50, k: int = 24, text: str = "tex
         return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "n": [len(x) for x in late], "late": [squeeze(np.packbits(x).tobytes()) for x in late]})
 
     found = with_blocks(packed, masks).mapInArrow(candidates, "part int, block long, found binary")
-    said = found.groupBy("part").applyInPandas(earlier, "block long, part int, n int, late binary")
+    # a given number of partitions: the parts are small as bytes, but long to sort, and must not be joined into few tasks
+    said = found.repartition(1 << part_bits, "part").groupBy("part").applyInPandas(earlier, "block long, part int, n int, late binary")
     gone = said.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "n", "late"))).alias("late"))
 
     def rewrite(batches):
