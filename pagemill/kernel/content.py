@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from math import hypot
 
@@ -18,6 +19,11 @@ SPACELESS = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0
 HANGUL = [(0xAC00, 0xD7AF), (0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xD7B0, 0xD7FF)]
 
 
+def char_class(ranges) -> re.Pattern:
+    """Matches one character of the code point ranges."""
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]")
+
+
 def within(char: str, ranges) -> bool:
     return any(a <= ord(char) <= b for a, b in ranges)
 
@@ -64,7 +70,7 @@ def interpret(data: bytes, fonts: dict[str, Font], size: tuple[float, float], sp
     def show(text: str):
         if not text.strip():
             return
-        chars = sum(not c.isspace() for c in text)
+        chars = sum(map(len, text.split()))
         page.shown += chars
         page.unseen += chars if mode in (3, 7) else 0
         x, y = ctm[0] * matrix[4] + ctm[2] * matrix[5] + ctm[4], ctm[1] * matrix[4] + ctm[3] * matrix[5] + ctm[5]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import unicodedata
+from functools import cache
 
 from .document import Document
 from .filters import PdfError
@@ -65,12 +66,17 @@ def glyph(name: str) -> str | None:
     return None
 
 
-def base_encoding(name) -> list[str]:
+@cache
+def _base(name) -> tuple[str, ...]:
     if name == "WinAnsiEncoding":
-        return [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(256)]
+        return tuple(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(256))
     if name == "MacRomanEncoding":
-        return [bytes([c]).decode("mac_roman") for c in range(256)]
-    return [STANDARD.get(c, chr(c) if c < 0x80 else "") for c in range(256)]
+        return tuple(bytes([c]).decode("mac_roman") for c in range(256))
+    return tuple(STANDARD.get(c, chr(c) if c < 0x80 else "") for c in range(256))
+
+
+def base_encoding(name) -> list[str]:
+    return list(_base(str(name) if name else None))
 
 
 class ToUnicode:

@@ -16,6 +16,7 @@ from .operators import layout, quality
 from .options import PageSelection, ParseOptions, RenderOptions
 from .plans import render
 from .sources import pdf, pdf_writer as writer
+from .session import spread
 from .streaming.ingest import page_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,8 +33,9 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows.select(*columns)) if columns else rows
 
 
 def sql_text(value: str) -> str:
@@ -130,7 +132,7 @@ EVERYTHING = [(". ", ".\n\n\n\n"), (", ", " ●\n"), (" in ", " ........... 12 "
 def _stage(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = STAGES[name](put_in(F.col("text"), ARTEFACTS[name]))
-        return table(spark, sf_dir, "documents").select("doc_id", text.alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+        return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
     run.__name__ = f"cleanup_{name}"
     return run
@@ -149,7 +151,7 @@ def _standard_sql(t: str) -> str:
 @query(f"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {_standard_sql(put_in_sql('text', EVERYTHING))} AS t FROM documents)")
 def cleanup_standard(spark, sf_dir):
     text = cl.clean(put_in(F.col("text"), EVERYTHING), CleanupOptions())
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
 @query(f"""SELECT doc_id, md5(h || chr(10) || {sub(sub(sub('b', ' {3,}', '  '), chr(10) + '{1000000,}', ''), chr(92) + 'A' + chr(92) + 's+|' + chr(92) + 's+' + chr(92) + 'z', '')}) AS digest
@@ -166,7 +168,7 @@ WORDS_SQL = r"len(list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <>
 @query(f"""SELECT doc_id, n AS char_count, w AS word_count, r AS replacement_char_count, n > 0 AND r / greatest(n, 1) < 0.3 AS is_good
 FROM (SELECT doc_id, length(t) AS n, {WORDS_SQL.format(t='t')} AS w, length(t) - length(replace(t, '�', '')) AS r FROM (SELECT doc_id, {put_in_sql('text', [('th', '�'), ('e', '��')])} AS t FROM documents))""")
 def quality_metrics(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", put_in(F.col("text"), [("th", "�"), ("e", "��")]).alias("text"))
+    rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", put_in(F.col("text"), [("th", "�"), ("e", "��")]).alias("text"))
     out = quality.text_quality(rows)
     return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("char_count", "word_count", "replacement_char_count")], "is_good")
 
@@ -333,7 +335,7 @@ PAGES_SQL = f"lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(l
 
 
 def _document_files(spark, sf_dir, options=None):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
     return writer.pdf_of_lines(rows, options, PER_PAGE)
 
 
@@ -446,7 +448,7 @@ def _titled(spark, sf_dir):
     from .session import importable
 
     importable(spark)
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    rows = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
     return pdf.parse_files(rows.mapInArrow(run, "doc_id string, content binary"))
 
 
