@@ -95,4 +95,29 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup, "op1_embedding_dedup": op1_embedding_dedup, "op10_top_k": op10_top_k, "op2_sentencepiece": op2_sentencepiece, "op3_quality": op3_quality, "op4_packing": op4_packing, "op8_line_dedup": op8_line_dedup, "op7_language_id": op7_language_id}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL)
+WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r(x, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.x, r.m FROM r JOIN l ON l.y = r.x),
+c AS (SELECT x, min(m) AS m FROM r GROUP BY x), k AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, c.m AS component_id, vec_id = c.m AS kept FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN k ON k.x = vec_id""",
+    "op5_substring_dedup": """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, s, list_slice(ws, s, s + 19) AS q FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)),
+f AS (SELECT doc_id, s, min({'d': doc_id, 's': s}) OVER (PARTITION BY q) AS low FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM f WHERE {'d': doc_id, 's': s} > low),
+per AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT w.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256 FROM w LEFT JOIN per ON per.doc_id = w.doc_id""",
+    "op8_line_dedup": """WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+i AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS s, regexp_replace(raw, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS t FROM a WHERE regexp_matches(raw, '[^\\x20\\x09-\\x0D]')),
+g AS (SELECT doc_id, s, t, lead(t, 1) OVER o AS t1, lead(t, 2) OVER o AS t2 FROM i WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+f AS (SELECT doc_id, s, min({'d': doc_id, 's': s}) OVER (PARTITION BY t, t1, t2) AS low FROM g WHERE t2 IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 3)) AS s FROM f WHERE {'d': doc_id, 's': s} > low),
+lost AS (SELECT i.doc_id, i.k FROM i JOIN gone ON gone.doc_id = i.doc_id AND gone.s = i.s)
+SELECT a.doc_id AS doc_id, count(i.k) AS n_lines, count(lost.k) AS n_removed, sha256(coalesce(string_agg(CASE WHEN lost.k IS NULL THEN raw END, chr(10) ORDER BY a.k), '')) AS kept_sha256
+FROM a LEFT JOIN i ON i.doc_id = a.doc_id AND i.k = a.k LEFT JOIN lost ON lost.doc_id = a.doc_id AND lost.k = a.k GROUP BY a.doc_id""",
+    "op10_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 5""",
+}
