@@ -199,7 +199,7 @@ def visit_blocks(blocks: DataFrame, visitors: list[Visitor], options: RenderOpti
     action, rendered = F.lit(CONTINUE), block_markdown(options or RenderOptions())
     for visit in reversed(visitors):
         own, text = visit()
-        rendered = F.when(own == REPLACE, text).otherwise(rendered) if visit else rendered
+        rendered = F.when(own == REPLACE, text).otherwise(rendered)
         action = F.when(own != CONTINUE, own).otherwise(action)
     return blocks.withColumn("rendered", rendered).where(action != SKIP)
 

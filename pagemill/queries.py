@@ -60,6 +60,7 @@ def sub(text: str, pattern: str, new: str) -> str:
 
 # ---- SQL of the cleanup stages
 
+TRIM = r"\A\s+|\s+\z"
 HAN = r"\p{Hangul}\p{Han}\p{Hiragana}\p{Katakana}"
 
 
@@ -145,7 +146,7 @@ for _name, _sql in STAGES_SQL.items():
 def _standard_sql(t: str) -> str:
     for name in ("nfc", "ligatures", "bullets", "replacement_chars", "page_number_lines", "toc_leaders", "dehyphenate", "list_markers", "cjk_lines", "single_newlines", "punctuation_lines", "spaces", "newline_cap"):
         t = STAGES_SQL[name](t)
-    return sub(t, r"\A\s+|\s+\z", "")
+    return sub(t, TRIM, "")
 
 
 @query(f"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {_standard_sql(put_in_sql('text', EVERYTHING))} AS t FROM documents)")
@@ -154,8 +155,8 @@ def cleanup_standard(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
-@query(f"""SELECT doc_id, md5(h || chr(10) || {sub(sub(sub('b', ' {3,}', '  '), chr(10) + '{1000000,}', ''), chr(92) + 'A' + chr(92) + 's+|' + chr(92) + 's+' + chr(92) + 'z', '')}) AS digest
-FROM (SELECT doc_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) AS h, nfc_normalize(replace(text, ', ', '     ')) AS b FROM documents)""".replace(chr(10) + "{1000000,}", "[^\\x{0}-\\x{10FFFF}]"))
+@query(f"""SELECT doc_id, md5(h || chr(10) || {sub(sub('b', ' {3,}', '  '), TRIM, '')}) AS digest
+FROM (SELECT doc_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) AS h, nfc_normalize(replace(text, ', ', '     ')) AS b FROM documents)""")
 def cleanup_frontmatter(spark, sf_dir):
     head = F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n"))
     text = cl.clean(F.concat(head, F.replace("text", F.lit(", "), F.lit("     "))), CleanupOptions.preset("minimal"))
@@ -210,11 +211,16 @@ def frontmatter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tf.frontmatter(F.concat("source", F.lit('\\"x')), F.col("lang"), keywords, F.col("n_chars")).alias("frontmatter"))
 
 
-ROMAN_SQL = "list_aggregate([" + ", ".join(f"repeat('{s}', CAST(floor((n % {10000 if i == 0 else tf.ROMAN[i - 1][0]}) / {v}) AS INT))" for i, (v, s) in enumerate(tf.ROMAN)) + "], 'string_agg', '')"
+def _roman_sql(n: str) -> str:
+    """Each numeral as often as it goes into what the larger ones leave."""
+    parts = []
+    for value, symbol in tf.ROMAN:
+        parts.append(f"repeat('{symbol}', CAST(floor({n} / {value}) AS INT))")
+        n = f"{n} % {value}"
+    return f"concat({', '.join(parts)})"
 
 
-@query("SELECT p_partkey, n, r AS roman, n || '.' AS decimal_marker, lower(r) || '.' AS roman_marker, chr(CAST(97 + n % 26 AS INT)) || '.' AS alpha_marker FROM (SELECT p_partkey, n, " + "".join(
-    ["concat("] + [", ".join(f"repeat('{s}', CAST(floor({'n' if i == 0 else _rest} / {v}) AS INT))" for i, (v, s) in enumerate(tf.ROMAN) for _rest in [("n" + "".join(f" % {tf.ROMAN[j][0]}" for j in range(i)))])] + [")"]) + " AS r FROM (SELECT p_partkey, p_partkey % 3999 + 1 AS n FROM part))")
+@query(f"SELECT p_partkey, n, r AS roman, n || '.' AS decimal_marker, lower(r) || '.' AS roman_marker, chr(CAST(97 + n % 26 AS INT)) || '.' AS alpha_marker FROM (SELECT p_partkey, n, {_roman_sql('n')} AS r FROM (SELECT p_partkey, p_partkey % 3999 + 1 AS n FROM part))")
 def list_numbers(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3999 + 1).alias("n"))
     n = F.col("n")
@@ -425,11 +431,6 @@ def pdf_table_markdown(spark, sf_dir):
     return render.markdown(parsed, layout.page_blocks(parsed), RenderOptions(cleanup=None)).select(F.col("doc_id").cast("int").alias("region"), "markdown")
 
 
-@query("SELECT count(*) AS documents, sum(CASE WHEN l < 100 THEN 1 ELSE 0 END) AS short FROM (SELECT length(text) AS l FROM documents)")
-def document_sizes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.sum(F.when(F.length("text") < 100, 1).otherwise(0)).alias("short"))
-
-
 def _titled(spark, sf_dir):
     """One small file a customer: title, date, bookmarks and a form come from its row."""
 
