@@ -15,7 +15,7 @@ from .session import prepare
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-CACHE = 300_000
+CACHE, BORDERS = 600_000, 1_000_000
 
 
 def _fields(data: bytes):
@@ -77,6 +77,7 @@ class PieceModel:
         self.words = re.compile(r"(?s).+" if joins else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.follows: dict[tuple[str, str], bool] = {}
         self.last: dict[str, tuple[str, str] | None] = {}
+        self.sound: set[str] = set()  # pieces known to be made by merges
         self.rank = {p: r for r, p in enumerate(sorted((p for p in self.id if len(p) > 1), key=lambda p: (-self.score[p], self.id[p])))}
         self.tails = {p[i:] for p in self.id for i in range(len(p))}
         raw = [b"" if lib.is_control(i) else b" \xe2\x81\x87 " if lib.is_unknown(i) else bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
@@ -121,48 +122,66 @@ class PieceModel:
                     limit, left = a, self._parts(left)[1]
                 else:
                     limit, right = b + 1, self._parts(right)[0]
-            if len(self.follows) > 4 * CACHE:
+            if len(self.follows) > BORDERS:
                 self.follows.clear()
             self.follows[key] = found
         return found
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word; words should be sorted, for then the stack of states walks their trie depth-first."""
-        out, before, state = [], "", [(0.0, "")]  # state[i]: score and last piece of the first i characters
+        extend = self._extend_bpe if self.kind == BPE else self._extend_unigram
+        ids, out, before, state = self.id, [], "", [(0.0, "")]  # state[i]: score and last piece of the first i characters
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del state[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                state.append(self._step(word, end, state))
+            extend(word, state)
             before, at, parts = word, len(word), []
             while at:
                 parts.append(state[at][1])
                 at -= len(parts[-1])
-            out.append([i for p in reversed(parts) for i in self._ids(p)])
+            own = [ids.get(p, -1) for p in reversed(parts)]
+            out.append(own if -1 not in own else [i for p in reversed(parts) for i in self._ids(p)])
         return out
 
-    def _step(self, word: str, end: int, state) -> tuple[float, str]:
-        found, tails, ids = [], self.tails, self.id
+    def _ends(self, word: str, end: int) -> list[int]:
+        """Starts of the pieces that end there, the nearest first; a text that ends no piece has no longer one either."""
+        tails, ids, out = self.tails, self.id, []
         for start in range(end - 1, -1, -1):
             piece = word[start:end]
-            if piece not in tails:  # then nothing longer is a piece either
+            if piece not in tails:
                 break
             if piece in ids:
-                found.append((start, piece))
-        char = word[end - 1 : end]
-        if self.kind == BPE:
-            for start, piece in reversed(found):
-                if (not start or self._can_follow(state[start][1], piece)) and (len(piece) == 1 or self._parts(piece)):
-                    return 0.0, piece
-            return 0.0, char
-        best = None if char in ids else (state[end - 1][0] + self.unk_score, char)
-        for start, piece in reversed(found):
-            total = state[start][0] + self.score[piece]
-            if best is None or total > best[0]:
-                best = (total, piece)
-        return best
+                out.append(start)
+        return out
+
+    def _extend_bpe(self, word: str, state) -> None:
+        follows, can_follow, parts, sound = self.follows, self._can_follow, self._parts, self.sound
+        for end in range(len(state), len(word) + 1):
+            for start in reversed(self._ends(word, end)):
+                piece = word[start:end]
+                if start:
+                    left = state[start][1]
+                    fits = follows.get((left, piece))
+                    if not (can_follow(left, piece) if fits is None else fits):
+                        continue
+                if piece in sound or end - start < 3 or parts(piece):
+                    sound.add(piece)
+                    state.append((0.0, piece))
+                    break
+            else:
+                state.append((0.0, word[end - 1]))
+
+    def _extend_unigram(self, word: str, state) -> None:
+        for end in range(len(state), len(word) + 1):
+            char = word[end - 1]
+            best = None if char in self.id else (state[end - 1][0] + self.unk_score, char)
+            for start in reversed(self._ends(word, end)):
+                total = state[start][0] + self.score[word[start:end]]
+                if best is None or total > best[0]:
+                    best = (total, word[start:end])
+            state.append(best)
 
     def _ids(self, piece: str) -> list[int]:
         if piece in self.id:

@@ -45,8 +45,7 @@ def test_unigram_cuts_have_the_best_score():
     words = sorted({MARK + "".join(r.choice("aabbx") for _ in range(r.randint(1, 8))) for _ in range(200)})
     for word in words:
         state = [(0.0, "")]
-        for end in range(1, len(word) + 1):
-            state.append(model._step(word, end, state))
+        model._extend_unigram(word, state)
         assert abs(state[-1][0] - best(word)) < 1e-9
 
 
