@@ -48,7 +48,7 @@ def winnow(lines: Lines, run: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(max(0, len(h) - run + 1))
     at = at[at + run <= lines.first[lines.ink_doc[at] + 1]] if len(at) else at
     low = tx.sliding_min(tx.gram_hash(h, gram), run - gram + 1) if len(h) >= run else np.zeros(0, np.uint64)
-    return at, low[at]
+    return at, tx.mix(low[at] + np.uint64(1))  # minima crowd near zero; mixed again they spread evenly
 
 
 def dedup_lines(docs: DataFrame, run: int = 3, gram: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -120,7 +120,7 @@ def stretches(buf: np.ndarray, off: np.ndarray, length: int, k: int):
         new = np.ones(len(at), bool)
         new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
         first = np.flatnonzero(new)
-        keys.append(low[first])
+        keys.append(tx.mix(low[first] + np.uint64(1)))  # minima crowd near zero; mixed again they spread evenly
         rows.append(row[first] + lo)
         starts.append(at[first] + off[lo])
         counts.append(np.diff(np.r_[first, len(at)]))
