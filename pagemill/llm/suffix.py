@@ -25,11 +25,8 @@ SHARD_BYTES = 1 << 20
 
 def _words_at(buf: np.ndarray) -> np.ndarray:
     """The eight bytes at each position as one big-endian number; zeros follow the end."""
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    out = np.zeros(len(buf), np.uint64)
-    for j in range(8):
-        out = (out << np.uint64(8)) | padded[j : j + len(buf)]
-    return out
+    padded = np.concatenate([buf, np.zeros(7, np.uint8)])
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(">u8").ravel().astype(np.uint64) if len(buf) else np.zeros(0, np.uint64)
 
 
 def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
@@ -40,7 +37,7 @@ def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(buf)
     key = _words_at(buf)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.ones(n, bool)
     new[1:] = key[sa[1:]] != key[sa[:-1]]
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -54,7 +51,7 @@ def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
             break
         ahead = sa[tied] + step
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
-        order = np.lexsort((second, head[tied]))
+        order = np.argsort(head[tied] * (n + 1) + second + 1)
         group, second = head[tied][order], second[order]
         sa[tied] = sa[tied][order]
         split = np.ones(len(tied), bool)
