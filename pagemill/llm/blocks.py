@@ -137,7 +137,7 @@ def repeated_keys(packed: DataFrame, keys_of, n_keys: int, cells_per_key: int =
 
 def is_repeated(keys: np.ndarray, group: np.ndarray | None, bits: int, masks) -> np.ndarray:
     """For each key of a block, whether its cell is repeated, from the block's row of `repeated_keys`."""
-    cells, _ = _cells(keys, group, bits)
+    cells, _ = _cells(keys, None, bits)
     flags = [np.unpackbits(np.frombuffer(expand(m["mask"]), np.uint8), count=m["n"]) for m in masks or []]
     flags = np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool)
     assert len(flags) == len(cells), "a block's cells changed between passes"

@@ -182,13 +182,15 @@ def dedup_bytes(docs: DataFrame, length: int = 50, k: int = 24, text: str = "tex
                     o = slice(cuts[p], cuts[p + 1])
                     share = (key[o] >> np.uint64(64 - part_bits - SHARE_BITS)) & np.uint64((1 << SHARE_BITS) - 1)
                     sizes = np.bincount(share.astype(np.int64), minlength=1 << SHARE_BITS).astype(np.int32)
-                    blob = put_arrays(gaps(owner[o]), count[o].astype(np.int32), _gather(buf, start[o], count[o] + length - 1), sizes)
+                    tail = (key[o] >> np.uint64(32 - part_bits - SHARE_BITS)).astype(np.uint32)
+                    blob = put_arrays(gaps(owner[o]), count[o].astype(np.int32), _gather(buf, start[o], count[o] + length - 1), sizes, gaps(tail))
                     yield pa.RecordBatch.from_pydict({"part": pa.array([int(p)], pa.int32()), "block": pa.array([block], pa.int64()), "found": pa.array([blob], pa.binary())})
 
     def earlier(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [get_arrays(x) for x in pdf["found"]]
         owners, counts, texts = [np.cumsum(p[0]) for p in parts], [p[1].astype(np.int64) for p in parts], [p[2] for p in parts]
         rows = [np.r_[0, np.cumsum(p[3])] for p in parts]  # where each share begins
+        tails = [np.cumsum(p[4], dtype=np.uint32) for p in parts]
         bytes_at = [np.r_[0, np.cumsum(c + length - 1)] for c in counts]
         late: list[list[np.ndarray]] = [[] for _ in parts]
         for share in range(1 << SHARE_BITS):
@@ -197,7 +199,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, k: int = 24, text: str = "tex
             count = np.concatenate([c[o] for c, o in zip(counts, own)])
             if not len(count):
                 continue
-            bits = earlier_strings(np.concatenate(held), np.concatenate([x[o] for x, o in zip(owners, own)]), count, length)
+            bits = earlier_strings(np.concatenate(held), np.concatenate([x[o] for x, o in zip(owners, own)]), count, length, np.concatenate([k[o] for k, o in zip(tails, own)]))
             for to, x in zip(late, np.split(bits, np.cumsum([c[o].sum() for c, o in zip(counts, own)])[:-1])):
                 to.append(x)
         late = [np.concatenate(x) if x else np.zeros(0, bool) for x in late]
@@ -234,8 +236,11 @@ def dedup_bytes(docs: DataFrame, length: int = 50, k: int = 24, text: str = "tex
     return with_blocks(packed, masks).join(gone, "block", "left").mapInArrow(rewrite, schema)
 
 
-def earlier_strings(data: np.ndarray, owner: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
-    """For each string of each stretch, in order: whether it also starts in a stretch of a smaller owner."""
+def earlier_strings(data: np.ndarray, owner: np.ndarray, count: np.ndarray, length: int, key: np.ndarray | None = None) -> np.ndarray:
+    """For each string of each stretch, in order: whether it also starts in a stretch of a smaller owner.
+
+    Equal strings have equal keys. So a key under which all stretches are alike, as inside of copies, needs no array.
+    """
     size = count + length - 1
     begin = np.cumsum(size) - size
     one, two = (tx.span_hash(data, begin, begin + size, lane) for lane in (0, 1))
@@ -245,6 +250,15 @@ def earlier_strings(data: np.ndarray, owner: np.ndarray, count: np.ndarray, leng
     heads = order[new]  # the copy of least owner stands for each distinct stretch
     distinct = np.empty(len(order), np.int64)
     distinct[order] = np.cumsum(new) - 1
+    if key is not None:
+        _, of, times = np.unique(key[heads], return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero((times[of] > 1)[distinct])
+        out = np.repeat(owner[heads][distinct] < owner, count)
+        if len(mixed):
+            inside = np.zeros(len(count), bool)
+            inside[mixed] = True
+            out[np.repeat(inside, count)] = earlier_strings(_gather(data, begin[mixed], size[mixed]), owner[mixed], count[mixed], length)
+        return out
     shard_of = (np.cumsum(size[heads]) - size[heads]) // SHARD_BYTES
     text, least, bounds = [], [], []
     for s in np.unique(shard_of):
