@@ -8,18 +8,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textops as tx
 from .components import components
 from .session import prepare, shared_checkpoint
 
 LEAF, FAN, SMALL = 16, 8, 24
+BLOCK_SHINGLES, TRIES = 1 << 20, 32
 
 
-def fingerprint_docs(docs: DataFrame, shingle: int = 4, lanes: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def fingerprint_docs(docs: DataFrame, shingle: int = 4, lanes: int = 1, text: str = "text", doc_id: str = "doc_id", classes: bool = False) -> DataFrame:
     """(doc_id, fp0, ...): 64 majority bits a lane over XXH64 (seed 42, 43, ...) of the lower-cased word shingles.
 
+    With `classes` also class, a hash of the set of shingles.
+
     Fewer words than a shingle: the whole sequence is the one shingle. No word, or null text: zero.
     """
 
@@ -28,9 +31,12 @@ def fingerprint_docs(docs: DataFrame, shingle: int = 4, lanes: int = 1, text: st
             for rows, buf, off in tx.slices(batch, text, 1 << 20):
                 out = fingerprints(buf, off, shingle, lanes)
                 columns = {"doc_id": rows.column(doc_id).cast(pa.int64())}
-                yield pa.RecordBatch.from_pydict(columns | {f"fp{i}": pa.array(np.ascontiguousarray(out[:, i]).view(np.int64)) for i in range(lanes)})
+                columns |= {f"fp{i}": pa.array(np.ascontiguousarray(out[:, i]).view(np.int64)) for i in range(lanes)}
+                if classes:
+                    columns["class"] = pa.array(set_hashes(*shingle_sets(buf, off, shingle)).view(np.int64))
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, " + ", ".join(f"fp{i} long" for i in range(lanes)))
+    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, " + ", ".join(f"fp{i} long" for i in range(lanes)) + ", class long" * classes)
 
 
 def fingerprints(buf: np.ndarray, off: np.ndarray, shingle: int, lanes: int = 1) -> np.ndarray:
@@ -53,6 +59,58 @@ def fingerprints(buf: np.ndarray, off: np.ndarray, shingle: int, lanes: int = 1)
     return out
 
 
+def shingle_sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distinct shingles as sorted 64-bit hashes, and their offsets; shingles as in fingerprint_docs."""
+    buf = tx.LOWER[buf]
+    words = tx.Words(buf, off)
+    joined, joined_off = tx.join_words(buf, words, np.ones(len(words.starts), bool))
+    spans = tx.Words(joined, joined_off)
+    size = np.where(spans.counts >= shingle, spans.counts - shingle + 1, np.minimum(spans.counts, 1))
+    doc = np.repeat(np.arange(len(size)), size)
+    start = spans.first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    h = tx.span_hash(joined, spans.starts[start], spans.ends[np.minimum(start + shingle, spans.first[doc + 1]) - 1])
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.r_[0, np.cumsum(np.bincount(doc[new], minlength=len(size)))].astype(np.int64)
+
+
+def set_hashes(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set of shingle_sets."""
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(tx.mix(h + np.uint64(7)), dtype=np.uint64, out=total[1:])
+    return tx.mix(total[off[1:]] - total[off[:-1]] + np.diff(off).astype(np.uint64))
+
+
+def similar_labels(codes: np.ndarray, sets: list[np.ndarray], radius: int, jaccard: float) -> np.ndarray:
+    """Smallest member of each one's component over the pairs within the radius whose sets have that Jaccard index.
+
+    A pair is only compared while nothing else joins it, the nearest first.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    label = np.arange(len(sets))
+    for x in range(1, len(sets)):
+        d = distance(codes[:x], codes[x])
+        open_ = np.flatnonzero((d <= radius) & (np.minimum(size[:x], size[x]) >= jaccard * np.maximum(size[:x], size[x]) - 1e-9))
+        open_ = open_[np.argsort(d[open_], kind="stable")]
+        while len(open_):
+            some, open_ = open_[:TRIES], open_[TRIES:]
+            both = np.array([_common(sets[x], sets[y]) for y in some.tolist()])
+            for y in some[both >= jaccard * (size[x] + size[some] - both) - 1e-9]:
+                low, high = sorted((label[x], label[y]))
+                label[: x + 1][label[: x + 1] == high] = low
+            open_ = open_[label[open_] != label[x]]
+    return label
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+
+
 def gray_order(codes: np.ndarray) -> np.ndarray:
     """Rows of codes in the order of the reflected Gray sequence, where neighbours differ in few bits."""
     ranks, odd = [], np.zeros(len(codes), np.uint64)
@@ -204,25 +262,85 @@ def radius_components(codes: DataFrame, radius: int, tables: list[tuple[int, ...
     return components(keyed.repartition(parts, "key").mapInArrow(link, "a long, b long"))
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, miss: float = 0.02, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def confirmed(docs: DataFrame, nodes: DataFrame, found: DataFrame, shingle: int, radius: int, jaccard: float, text: str, doc_id: str) -> DataFrame:
+    """As radius_components, after the candidate components `found` are cut to pairs of that exact Jaccard index.
+
+    Only the first document of a class sends its shingles, to its candidate component. Components of more than
+    BLOCK_SHINGLES shingles are cut into blocks, and every two blocks meet. A task hands on one link a member.
+    """
+    prints = [c for c in nodes.columns if c.startswith("fp")]
+    several = found.join(nodes, "node")
+    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(tx.NULL_ID)).alias("node"), F.col(text).alias("text")).join(several, "node")
+    schema = "component long, node long, " + ", ".join(f"{p} long" for p in prints) + ", n long, shingles binary"
+
+    def read(batches):
+        for batch in batches:
+            for rows, buf, off in tx.slices(batch, "text", 1 << 20):
+                h, at = shingle_sets(buf, off, shingle)
+                # rows of one id may differ in their texts; each goes with its own fingerprint
+                same = np.flatnonzero(set_hashes(h, at).view(np.int64) == rows.column("class").to_numpy())
+                kept = rows.take(pa.array(same))
+                yield pa.RecordBatch.from_pydict({c: kept.column(c) for c in ("component", "node", *prints)} | {
+                    "n": pa.array(np.diff(at)[same]), "shingles": pa.array([h[at[i] : at[i + 1]].tobytes() for i in same], pa.binary())})
+
+    sets = shared_checkpoint(own.select("component", "node", *prints, "class", "text").mapInArrow(read, schema))
+    before = F.sum("n").over(Window.partitionBy("component").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1))
+    block = sets.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_SHINGLES))
+    block = block.withColumn("last", F.max("block").over(Window.partitionBy("component")))
+    others = F.when(F.col("last") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), "last"), lambda x: x != F.col("block")))
+    pairs = block.withColumn("other", F.explode(others)).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", *prints, "shingles")
+    pairs = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+
+    def compare(batches):
+        last, held = None, []
+
+        def links():
+            codes = np.array([h[1] for h in held], np.int64).view(np.uint64)
+            label = similar_labels(codes, [np.frombuffer(h[2], np.uint64) for h in held], radius, jaccard)
+            return [(h[0], held[k][0]) for h, k in zip(held, label) if h[0] != held[k][0]]
+
+        for batch in batches:
+            out = []
+            data = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for component, i, j, node, *code, shingles in zip(*data):
+                if (component, i, j) != last:
+                    out += links() if len(held) > 1 else []
+                    last, held = (component, i, j), []
+                held.append((node, code, shingles))
+            if out:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+        out = links() if len(held) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return components(pairs.mapInArrow(compare, "a long, b long"))
+
+
+def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, miss: float = 0.02, text: str = "text", doc_id: str = "doc_id", jaccard: float | None = None) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits a lane), component_id (smallest id reachable over links).
 
     Fingerprints at `radius` bits or fewer link. With one lane of 64 bits and a radius up to 8 no link is lost. Beyond,
     tables sample bits: two fingerprints that differ in three quarters of the radius, which is where documents of that
     similarity lie on average, fail to meet with probability `miss` before other members of their group are counted.
 
+    With `jaccard`, a link also needs that exact Jaccard index of the two documents' sets of shingles, and only documents
+    of equal fingerprint and equal set are one node.
+
     Equal fingerprints are one node; hence any number of copies costs one row in the index. Documents without words
     have fingerprint zero and link like others. A null id sorts before all ids and stands for its component as null;
     rows of equal id are one document each. An empty table gives an empty table; other columns are not read.
     """
     prepare(docs.sparkSession)
     prints = [f"fp{i}" for i in range(lanes)]
-    rows = shared_checkpoint(fingerprint_docs(docs, shingle, lanes, text, doc_id))
+    by = prints if jaccard is None else [*prints, "class"]
+    rows = shared_checkpoint(fingerprint_docs(docs, shingle, lanes, text, doc_id, jaccard is not None))
     null = F.lit(tx.NULL_ID)
-    nodes = shared_checkpoint(rows.groupBy(*prints).agg(F.min(F.coalesce("doc_id", null)).alias("node")))
+    nodes = shared_checkpoint(rows.groupBy(*by).agg(F.min(F.coalesce("doc_id", null)).alias("node")))
     tables = exact_tables(radius) if lanes == 1 and radius <= 8 else sampled_tables(lanes, nodes.count(), 0.75 * radius / (64 * lanes), miss)
     found = radius_components(nodes, radius, tables)
+    if jaccard is not None:
+        found = confirmed(docs, nodes, found, shingle, radius, jaccard, text, doc_id)
     # two fingerprints may share a smallest id only if that id repeats; then they are one node
-    nodes = nodes.join(found, "node", "left").select(*prints, F.nullif(F.coalesce("component", "node"), null).alias("component_id"))
+    nodes = nodes.join(found, "node", "left").select(*by, F.nullif(F.coalesce("component", "node"), null).alias("component_id"))
     text_of = F.concat(*[F.lower(F.lpad(F.hex(p), 16, "0")) for p in prints])
-    return rows.join(nodes, prints).select("doc_id", text_of.alias("fingerprint"), "component_id")
+    return rows.join(nodes, by).select("doc_id", text_of.alias("fingerprint"), "component_id")

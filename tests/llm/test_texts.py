@@ -169,6 +169,30 @@ def test_wide_simhash_finds_near_copies(spark):
     assert all(got[2 * i] == 2 * i for i in range(60)) and sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 57
 
 
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_near_duplicates_have_the_jaccard_index(spark, monkeypatch, block):
+    from pagemill.llm import simhash
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+    r = random.Random(6)
+    rows = [(900, "a b c d e " * 5 + "x"), (901, "a b c d e " * 5 + "y z q w u v " * 2)]
+    for i in range(60):  # chains of copies on both sides of 0.8
+        words = [f"v{r.randint(0, 5000)}" for _ in range(150)]
+        for k in range(4):
+            rows.append((4 * i + k, " ".join(words)))
+            for at in r.sample(range(150), r.randint(1, 6)):
+                words[at] = f"c{r.randint(0, 999)}"
+    sets = [{tuple(w[a : a + 5]) for a in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    label = tx.forest(len(rows), *(np.array(x) for x in zip(*near)))
+    first = {k: min(rows[x][0] for x in range(len(rows)) if label[x] == k) for k in set(label.tolist())}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x.doc_id for x in pipeline.near_duplicates(spark, docs, "").collect()}
+    assert set(first.values()) <= kept and 60 < len(first) < 180
+    assert len(kept - set(first.values())) <= 0.03 * len(rows)  # what the fingerprints' radius does not reach
+
+
 @given(st.lists(st.integers(97, 99), max_size=300), st.integers(8, 60))
 @settings(max_examples=80, deadline=None)
 def test_suffix_arrays(data, depth):
