@@ -33,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose 256-bit fingerprints of five-word shingles agree in 0.8 of their bits, and whose sets of
     shingles have an exact Jaccard index of 0.8, the first stays."""
-    groups = simhash_groups(docs, shingle=5, radius=51, lanes=4, miss=0.005, jaccard=0.8)
+    groups = simhash_groups(docs, shingle=5, radius=51, lanes=4, jaccard=0.8)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 

@@ -16,15 +16,17 @@ from .session import prepare, shared_checkpoint
 
 LEAF, FAN, SMALL = 16, 8, 24
 BLOCK_SHINGLES, TRIES = 1 << 20, 32
+HEAVY, PART_KEYS = 16, 1 << 20
 
 
-def fingerprint_docs(docs: DataFrame, shingle: int = 4, lanes: int = 1, text: str = "text", doc_id: str = "doc_id", classes: bool = False) -> DataFrame:
+def fingerprint_docs(docs: DataFrame, shingle: int = 4, lanes: int = 1, text: str = "text", doc_id: str = "doc_id", jaccard: float | None = None) -> DataFrame:
     """(doc_id, fp0, ...): 64 majority bits a lane over XXH64 (seed 42, 43, ...) of the lower-cased word shingles.
 
-    With `classes` also class, a hash of the set of shingles.
+    With `jaccard` also class, a hash of the set of shingles, and keys, its prefix for that index.
 
     Fewer words than a shingle: the whole sequence is the one shingle. No word, or null text: zero.
     """
+    heavy = None if jaccard is None else docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, shingle, text, doc_id))
 
     def run(batches):
         for batch in batches:
@@ -32,11 +34,15 @@ def fingerprint_docs(docs: DataFrame, shingle: int = 4, lanes: int = 1, text: st
                 out = fingerprints(buf, off, shingle, lanes)
                 columns = {"doc_id": rows.column(doc_id).cast(pa.int64())}
                 columns |= {f"fp{i}": pa.array(np.ascontiguousarray(out[:, i]).view(np.int64)) for i in range(lanes)}
-                if classes:
-                    columns["class"] = pa.array(set_hashes(*shingle_sets(buf, off, shingle)).view(np.int64))
+                if heavy is not None:
+                    h, at = shingle_sets(buf, off, shingle)
+                    keys = prefixes(h, at, heavy.value, jaccard)
+                    ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+                    columns["class"] = pa.array(set_hashes(h, at).view(np.int64))
+                    columns["keys"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, " + ", ".join(f"fp{i} long" for i in range(lanes)) + ", class long" * classes)
+    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, " + ", ".join(f"fp{i} long" for i in range(lanes)) + ", class long, keys array<long>" * (jaccard is not None))
 
 
 def fingerprints(buf: np.ndarray, off: np.ndarray, shingle: int, lanes: int = 1) -> np.ndarray:
@@ -231,18 +237,21 @@ def sampled_tables(lanes: int, n: int, apart: float, miss: float) -> list[tuple[
     return out
 
 
-def radius_components(codes: DataFrame, radius: int, tables: list[tuple[int, ...]]) -> DataFrame:
+def table_keys(tables: list[tuple[int, ...]]):
+    """An array column: for each table a hash of the bits that its mask shows."""
+    signed = lambda m: int(np.uint64(m).view(np.int64))
+    return F.array(*[F.xxhash64(F.lit(t), *[F.col(f"fp{i}").bitwiseAND(F.lit(signed(m))) for i, m in enumerate(masks)]) for t, masks in enumerate(tables)])
+
+
+def radius_components(codes: DataFrame, radius: int, keys, parts: int = 1) -> DataFrame:
     """(node, component) of distinct (fp0, ..., node) rows, for those that link: codes at `radius` bits or fewer.
 
-    Codes meet if the bits of a table's mask are equal. A task holds many such buckets and hands on one link a member
+    Codes meet if they have a key in common. A task holds many such buckets and hands on one link a member
     (its local root), never all pairs.
     """
-    lanes = len(tables[0])
-    prints = [f"fp{i}" for i in range(lanes)]
-    signed = lambda m: int(np.uint64(m).view(np.int64))
-    keys = F.array(*[F.xxhash64(F.lit(t), *[F.col(p).bitwiseAND(F.lit(signed(m))) for p, m in zip(prints, masks)]) for t, masks in enumerate(tables)])
+    prints = [c for c in codes.columns if c.startswith("fp")]
     keyed = codes.select(*prints, "node", F.explode(keys).alias("key"))
-    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts)
 
     def link(batches):
         rows = [b for b in batches if b.num_rows]
@@ -252,6 +261,8 @@ def radius_components(codes: DataFrame, radius: int, tables: list[tuple[int, ...
         node, key = (table.column(c).to_numpy() for c in ("node", "key"))
         fp = np.stack([table.column(c).to_numpy().view(np.uint64) for c in prints], 1)
         order = np.argsort(key, kind="stable")
+        again = key[order][1:] == key[order][:-1]
+        order = order[np.r_[again, False] | np.r_[False, again]]  # a key that one code has meets nothing
         p, q = bucket_links(key[order], fp[order], radius)
         p, q = order[p], order[q]
         members, at = np.unique(node, return_inverse=True)
@@ -262,6 +273,40 @@ def radius_components(codes: DataFrame, radius: int, tables: list[tuple[int, ...
     return components(keyed.repartition(parts, "key").mapInArrow(link, "a long, b long"))
 
 
+def heavy_shingles(docs: DataFrame, shingle: int, text: str, doc_id: str, rows: int = 20_000) -> np.ndarray:
+    """Hashes of shingles that many documents hold, as a sample of documents shows, the rarest of them first."""
+    share = min(1.0, rows / max(1, docs.count()))
+    some = docs.select(text).where(F.pmod(F.xxhash64(F.col(doc_id), F.length(text)), F.lit(1 << 40)) < share * (1 << 40))
+
+    def run(batches):
+        for batch in batches:
+            for _, buf, off in tx.slices(batch, text, 1 << 20):
+                h, times = np.unique(shingle_sets(buf, off, shingle)[0], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(times)})
+
+    often = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {HEAVY}")
+    found = often.orderBy(F.desc("n"), "h").limit(1 << 17).toArrow()
+    return found.column("h").to_numpy().view(np.uint64)[::-1].copy()
+
+
+def prefixes(h: np.ndarray, off: np.ndarray, heavy: np.ndarray, jaccard: float) -> list[np.ndarray]:
+    """The first n - ceil(jaccard * n) + 1 of each set of n shingles, in one order of all shingles: the heavy ones last.
+
+    Two sets of that Jaccard index share at least ceil(jaccard * n) shingles, n being the larger set's size; hence
+    whatever the order is, they share one in these prefixes. An empty set gets one key, so that empty sets meet.
+    """
+    by_hash = np.argsort(heavy)
+    at = np.minimum(np.searchsorted(heavy, h, sorter=by_hash), max(0, len(heavy) - 1))
+    weight = np.zeros(len(h), np.int64)
+    if len(heavy):
+        place = by_hash[at]
+        weight = np.where(heavy[place] == h, place + 1, 0)
+    size = np.diff(off)
+    h = h[np.lexsort((h, weight, np.repeat(np.arange(len(size)), size)))]
+    first = size - np.ceil(jaccard * size - 1e-9).astype(np.int64) + 1
+    return [h[a : a + n] if m else np.zeros(1, np.uint64) for a, n, m in zip(off[:-1].tolist(), first.tolist(), size.tolist())]
+
+
 def confirmed(docs: DataFrame, nodes: DataFrame, found: DataFrame, shingle: int, radius: int, jaccard: float, text: str, doc_id: str) -> DataFrame:
     """As radius_components, after the candidate components `found` are cut to pairs of that exact Jaccard index.
 
@@ -320,11 +365,12 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: in
     """One row a document: doc_id, fingerprint (16 hex digits a lane), component_id (smallest id reachable over links).
 
     Fingerprints at `radius` bits or fewer link. With one lane of 64 bits and a radius up to 8 no link is lost. Beyond,
-    tables sample bits: two fingerprints that differ in three quarters of the radius, which is where documents of that
-    similarity lie on average, fail to meet with probability `miss` before other members of their group are counted.
+    tables sample bits: two fingerprints that differ in as many bits as the radius fail to meet with probability `miss`,
+    before other members of their group are counted.
 
     With `jaccard`, a link also needs that exact Jaccard index of the two documents' sets of shingles, and only documents
-    of equal fingerprint and equal set are one node.
+    of equal fingerprint and equal set are one node. Fingerprints then meet by shared shingles in the sets' prefixes,
+    which finds every such link at any number of documents; `miss` is not used.
 
     Equal fingerprints are one node; hence any number of copies costs one row in the index. Documents without words
     have fingerprint zero and link like others. A null id sorts before all ids and stands for its component as null;
@@ -333,12 +379,17 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: in
     prepare(docs.sparkSession)
     prints = [f"fp{i}" for i in range(lanes)]
     by = prints if jaccard is None else [*prints, "class"]
-    rows = shared_checkpoint(fingerprint_docs(docs, shingle, lanes, text, doc_id, jaccard is not None))
+    rows = shared_checkpoint(fingerprint_docs(docs, shingle, lanes, text, doc_id, jaccard))
     null = F.lit(tx.NULL_ID)
-    nodes = shared_checkpoint(rows.groupBy(*by).agg(F.min(F.coalesce("doc_id", null)).alias("node")))
-    tables = exact_tables(radius) if lanes == 1 and radius <= 8 else sampled_tables(lanes, nodes.count(), 0.75 * radius / (64 * lanes), miss)
-    found = radius_components(nodes, radius, tables)
-    if jaccard is not None:
+    node = F.min(F.coalesce("doc_id", null)).alias("node")
+    if jaccard is None:
+        nodes = shared_checkpoint(rows.groupBy(*prints).agg(node))
+        tables = exact_tables(radius) if lanes == 1 and radius <= 8 else sampled_tables(lanes, nodes.count(), radius / (64 * lanes), miss)
+        found = radius_components(nodes, radius, table_keys(tables))
+    else:  # equal sets have equal keys
+        keyed = shared_checkpoint(rows.groupBy(*by).agg(node, F.first("keys").alias("keys")))
+        nodes, n_keys = keyed.drop("keys"), keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
+        found = radius_components(keyed, radius, F.col("keys"), -(-n_keys // PART_KEYS))
         found = confirmed(docs, nodes, found, shingle, radius, jaccard, text, doc_id)
     # two fingerprints may share a smallest id only if that id repeats; then they are one node
     nodes = nodes.join(found, "node", "left").select(*by, F.nullif(F.coalesce("component", "node"), null).alias("component_id"))

@@ -193,6 +193,42 @@ def test_near_duplicates_have_the_jaccard_index(spark, monkeypatch, block):
     assert len(kept - set(first.values())) <= 0.03 * len(rows)  # what the fingerprints' radius does not reach
 
 
+def test_prefixes_of_similar_sets_meet():
+    from pagemill.llm import simhash
+
+    r = np.random.default_rng(3)
+    heavy = r.permutation(np.arange(1, 40).astype(np.uint64))
+    for _ in range(3000):
+        n = r.integers(1, 60)
+        a = r.choice(np.arange(1, 200), n, replace=False)
+        b = np.unique(np.where(r.random(n) < 0.12, r.integers(1, 200, n), a))
+        both = len(np.intersect1d(a, b))
+        if 10 * both >= 8 * (len(a) + len(b) - both):
+            sets = [np.sort(x).astype(np.uint64) for x in (a, b)]
+            for order in (heavy, heavy[:0]):
+                p, q = simhash.prefixes(np.concatenate(sets), np.cumsum([0, len(a), len(b)]), order, 0.8)
+                assert len(np.intersect1d(p, q))
+
+
+def test_no_near_duplicate_within_the_radius_is_missed(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from pagemill.llm import simhash
+
+    r, texts = random.Random(12), []
+    for _ in range(1200):  # pairs close to 0.8, which share no tables more often than others
+        words = [f"v{r.randint(0, 5000)}" for _ in range(100)]
+        texts.append(" ".join(words))
+        for at in r.sample(range(4, 96), 2):
+            words[at] = "changed"
+        texts.append(" ".join(words))
+    codes = simhash.fingerprints(*tx.flat(pa.array(texts)), 5, 4)
+    sets = [{tuple(w[a : a + 5]) for a in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    due = {2 * i + 1 for i in range(1200) if simhash.distance(codes[2 * i], codes[2 * i + 1][None]) <= 51 and len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x.doc_id for x in pipeline.near_duplicates(spark, docs, "").collect()}
+    assert set(range(2400)) - kept == due and len(due) > 800
+
+
 @given(st.lists(st.integers(97, 99), max_size=300), st.integers(8, 60))
 @settings(max_examples=80, deadline=None)
 def test_suffix_arrays(data, depth):
