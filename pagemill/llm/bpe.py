@@ -111,23 +111,24 @@ class Encoder:
         return [e.ids for e in self.library.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
 
     def _reset(self):
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.pool, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _entries(self, hashes: np.ndarray, pieces) -> np.ndarray:
-        """Cache entries of distinct pre-tokens; pieces(indices) gives the texts of those not known yet."""
+    def _entries(self, pieces: list[bytes]) -> np.ndarray:
+        """Cache entries of distinct pre-tokens."""
         if len(self.place) > CACHE:
             self._reset()
-        at = np.array([self.place.get(h, -1) for h in hashes.tolist()], np.int64)
+        at = np.array([self.place.get(p, -1) for p in pieces], np.int64)
         fresh = np.flatnonzero(at < 0)
         if len(fresh):
-            found = self._pieces(pieces(fresh))
+            unknown = [pieces[i] for i in fresh.tolist()]
+            found = self._pieces(unknown)
             sizes = np.array([len(x) for x in found], np.int64)
             begin = len(self.pool) + np.cumsum(sizes) - sizes
             self.pool = np.concatenate([self.pool, np.array([i for x in found for i in x], np.uint32)])
             at[fresh] = np.arange(len(self.begin), len(self.begin) + len(fresh))
             self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
-            self.place.update(zip(hashes[fresh].tolist(), at[fresh].tolist()))
+            self.place.update(zip(unknown, at[fresh].tolist()))
         return at
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +154,16 @@ class Encoder:
         cp = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
         starts = np.flatnonzero(lead)[pretoken_starts(cp, np.r_[0, np.cumsum(lead)][off])]
         ends = np.r_[starts[1:], len(buf)]
-        hashes, first, which = np.unique(tx.span_hash(buf, starts, ends), return_index=True, return_inverse=True)
-        data = buf.tobytes()
-        entry = self._entries(hashes, lambda at: [data[a:b] for a, b in zip(starts[first[at]].tolist(), ends[first[at]].tolist())])[which]
+        _, first, which = np.unique(tx.span_hash(buf, starts, ends), return_index=True, return_inverse=True)
+        data, long = buf.tobytes(), ends - starts
+        like = first[which]
+        alike = long == long[like]
+        alike[alike] = tx.same_spans(buf, starts[alike], starts[like[alike]], long[alike])
+        if not alike.all():  # different pre-tokens with one hash: each differing one stands for itself
+            odd = np.flatnonzero(~alike)
+            which[odd] = len(first) + np.arange(len(odd))
+            first = np.r_[first, odd]
+        entry = self._entries([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])[which]
         size = self.size[entry]
         total = np.cumsum(size)
         ids = self.pool[np.arange(total[-1]) + np.repeat(self.begin[entry] - (total - size), size)]

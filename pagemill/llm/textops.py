@@ -15,26 +15,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 NULL_ID = -(2**63)
 STRETCH = 1 << 19
+SHORT = 6
 
 _U64 = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_tables: dict[tuple, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, grown on demand."""
-    have = _tables.get(("pow", base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, _U64)
-        have[0] = 1
-        have = _tables["pow", base] = np.cumprod(have, dtype=_U64)
-    return have[:n]
-
-
-def _bytes_table(lane: int) -> np.ndarray:
-    if ("byte", lane) not in _tables:
-        _tables["byte", lane] = np.random.Generator(np.random.PCG64(1000 + lane)).integers(1, 2**64, 256, dtype=_U64)
-    return _tables["byte", lane]
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # one a lane
+_FOLDS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], _U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,34 +32,96 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U64(31))
 
 
-def _span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    n = len(values)
-    total = np.zeros(n + 1, _U64)
-    np.cumsum(values * _powers(base, n), out=total[1:])
-    inverse = _powers(pow(base, -1, 2**64), n + 1)
-    return (total[ends] - total[starts]) * inverse[starts]
+def load8(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position of buf and its end on, as an unaligned view; zeros follow the end."""
+    return np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
 
 
-def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of buf[starts:ends] for each span, in order of their starts; lanes are independent."""
-    out = np.empty(len(starts), _U64)
+def _seeds(at: np.ndarray, lane: int) -> np.ndarray:
+    return mix(at.astype(_U64) * _U64(_FOLDS[lane]) + _U64(_SEEDS[lane]))
+
+
+def _long_spans(sizes: np.ndarray):
+    """(span, number of an eight-byte piece in it) of all pieces of the spans, in arrays of about STRETCH pieces."""
+    count = -(-sizes // 8)
+    total = np.r_[0, np.cumsum(count)]
     lo = 0
-    while lo < len(starts):  # in bounded stretches of the buffer
-        at = int(starts[lo])
-        hi = max(lo + 1, int(np.searchsorted(starts, at + STRETCH)))
-        stop = int(ends[lo:hi].max())
-        out[lo:hi] = _span_sums(_bytes_table(lane)[buf[at:stop]], starts[lo:hi] - at, ends[lo:hi] - at, _BASES[lane])
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + STRETCH, "right")) - 1)
+        yield np.repeat(np.arange(lo, hi), count[lo:hi]), np.arange(total[hi] - total[lo]) - np.repeat(total[lo:hi] - total[lo], count[lo:hi])
         lo = hi
-    return mix(out)
+
+
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of buf[starts:ends] for each span; lanes are independent.
+
+    Each eight bytes are mixed with a seed of their place and the lane before they are added up, so no rearrangement of
+    a text keeps its sum, as it can under polynomial hashes modulo a power of two.
+    """
+    eight, size = load8(buf), ends - starts
+    out = np.zeros(len(starts), _U64)
+    seeds = _seeds(np.arange(SHORT), lane)
+    at = np.arange(len(starts))
+    for k in range(SHORT):
+        at = at[size[at] > 8 * k]
+        if not len(at):
+            break
+        out[at] += mix((eight[starts[at] + 8 * k] & _MASKS[np.minimum(size[at] - 8 * k, 8)]) + seeds[k])
+    at = at[size[at] > 8 * SHORT]
+    for span, k in _long_spans(size[at] - 8 * SHORT) if len(at) else ():
+        own, k = at[span], k + SHORT
+        value = mix((eight[starts[own] + 8 * k] & _MASKS[np.minimum(size[own] - 8 * k, 8)]) + _seeds(k, lane))
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[first]] += np.add.reduceat(value, first)
+    return mix(out ^ (size.astype(_U64) * _U64(_FOLDS[lane])))
+
+
+def same_spans(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether buf[a : a + size] equals buf[b : b + size], byte by byte, for each triple."""
+    eight, out = load8(buf), np.ones(len(a), bool)
+    for span, k in _long_spans(size):
+        differ = (eight[a[span] + 8 * k] ^ eight[b[span] + 8 * k]) & _MASKS[np.minimum(size[span] - 8 * k, 8)]
+        out[span[differ != 0]] = False
+    return out
+
+
+def equal_groups(buf: np.ndarray, starts: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """`new` (which of sorted spans open a group of equal hash), corrected by comparing all bytes: where a member of a
+    group differs from its first one, every member opens a group of its own."""
+    if not len(new):
+        return new
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    rest = np.flatnonzero(~new)
+    alike = size[rest] == size[head[rest]]
+    alike[alike] = same_spans(buf, starts[rest[alike]], starts[head[rest[alike]]], size[rest[alike]])
+    if not alike.all():
+        new = new | np.isin(head, head[rest[~alike]])
+    return new
+
+
+def byte_grams(buf: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each run of k >= 8 bytes."""
+    n = len(buf) - k + 1
+    if n <= 0:
+        return np.zeros(0, _U64)
+    eight = load8(buf)
+    out = mix(eight[:n] + _U64(_SEEDS[0]))
+    for at in [*range(8, k - 7, 8), *([k - 8] if k % 8 else [])]:
+        out = mix(out * _U64(_FOLDS[0]) + eight[at : at + n])
+    return out
 
 
 def gram_hash(hashes: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of `size` consecutive hashes (len - size + 1 of them)."""
-    m = len(hashes) - size + 1
-    if m <= 0:
+    """A 64-bit hash of each run of `size` consecutive hashes (len - size + 1 of them), by doubling."""
+    if len(hashes) < size:
         return np.zeros(0, _U64)
-    at = np.arange(m)
-    return mix(_span_sums(mix(hashes + _U64(size)), at, at + size, _BASES[lane]))
+    fold, width, run, out, have = _U64(_FOLDS[lane]), 1, mix(hashes + _U64(_SEEDS[lane]) + _U64(size)), None, 0
+    while True:
+        if size & width:  # the smaller parts of the run come first
+            out, have = (run, width) if out is None else (mix(out[: len(run) - have] * fold + run[have : have + len(out)]), have + width)
+        if width * 2 > size:
+            return out[: len(hashes) - size + 1]
+        run, width = mix(run[:-width] * fold + run[width:]), width * 2
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
