@@ -20,7 +20,7 @@ from .session import prepare
 
 PART_BYTES = 8 << 20  # of candidate strings, as blocks send them to one task
 SHARE_BITS = 3  # a task takes its part in so many bits of shares
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19  # of one suffix array; larger shares have several, merged by binary search
 
 
 def _words_at(buf: np.ndarray) -> np.ndarray:
@@ -101,16 +101,12 @@ def string_classes(buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
 def stretches(buf: np.ndarray, off: np.ndarray, length: int, k: int):
     """Runs of consecutive strings of one document with the same smallest k-gram hash: key, row, start, count."""
     keys, rows, starts, counts = [], [], [], []
-    inverse = pow(tx._BASES[0], -1, 2**64)
     for lo, hi in tx.chunks(off, 1 << 20):
         part, own = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         n = len(part)
         if n < length:
             continue
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(tx._bytes_table(0)[part] * tx._powers(tx._BASES[0], n), out=total[1:])
-        grams = tx.mix((total[k:] - total[:-k]) * tx._powers(inverse, n + 1)[: n - k + 1])
-        low = tx.sliding_min(grams, length - k + 1)
+        low = tx.sliding_min(tx.byte_grams(part, k), length - k + 1)
         row = np.repeat(np.arange(hi - lo), np.diff(own))[: n - length + 1]
         at = np.flatnonzero(np.arange(n - length + 1) + length <= own[row + 1])
         low, row = low[at], row[at]
@@ -170,6 +166,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, k: int = 24, text: str = "tex
         key, owner, start, count, one, two = (x[order] for x in (key, owner, start, count, one, two))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        new = tx.equal_groups(buf, start, count + (length - 1), new)
         return buf, off, key, owner, start, count, new
 
     def candidates(batches):
@@ -182,15 +179,13 @@ def dedup_bytes(docs: DataFrame, length: int = 50, k: int = 24, text: str = "tex
                     o = slice(cuts[p], cuts[p + 1])
                     share = (key[o] >> np.uint64(64 - part_bits - SHARE_BITS)) & np.uint64((1 << SHARE_BITS) - 1)
                     sizes = np.bincount(share.astype(np.int64), minlength=1 << SHARE_BITS).astype(np.int32)
-                    tail = (key[o] >> np.uint64(32 - part_bits - SHARE_BITS)).astype(np.uint32)
-                    blob = put_arrays(gaps(owner[o]), count[o].astype(np.int32), _gather(buf, start[o], count[o] + length - 1), sizes, gaps(tail))
+                    blob = put_arrays(gaps(owner[o]), count[o].astype(np.int32), _gather(buf, start[o], count[o] + length - 1), sizes)
                     yield pa.RecordBatch.from_pydict({"part": pa.array([int(p)], pa.int32()), "block": pa.array([block], pa.int64()), "found": pa.array([blob], pa.binary())})
 
     def earlier(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [get_arrays(x) for x in pdf["found"]]
         owners, counts, texts = [np.cumsum(p[0]) for p in parts], [p[1].astype(np.int64) for p in parts], [p[2] for p in parts]
         rows = [np.r_[0, np.cumsum(p[3])] for p in parts]  # where each share begins
-        tails = [np.cumsum(p[4], dtype=np.uint32) for p in parts]
         bytes_at = [np.r_[0, np.cumsum(c + length - 1)] for c in counts]
         late: list[list[np.ndarray]] = [[] for _ in parts]
         for share in range(1 << SHARE_BITS):
@@ -199,7 +194,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, k: int = 24, text: str = "tex
             count = np.concatenate([c[o] for c, o in zip(counts, own)])
             if not len(count):
                 continue
-            bits = earlier_strings(np.concatenate(held), np.concatenate([x[o] for x, o in zip(owners, own)]), count, length, np.concatenate([k[o] for k, o in zip(tails, own)]))
+            bits = earlier_strings(np.concatenate(held), np.concatenate([x[o] for x, o in zip(owners, own)]), count, length)
             for to, x in zip(late, np.split(bits, np.cumsum([c[o].sum() for c, o in zip(counts, own)])[:-1])):
                 to.append(x)
         late = [np.concatenate(x) if x else np.zeros(0, bool) for x in late]
@@ -236,10 +231,11 @@ def dedup_bytes(docs: DataFrame, length: int = 50, k: int = 24, text: str = "tex
     return with_blocks(packed, masks).join(gone, "block", "left").mapInArrow(rewrite, schema)
 
 
-def earlier_strings(data: np.ndarray, owner: np.ndarray, count: np.ndarray, length: int, key: np.ndarray | None = None) -> np.ndarray:
+def earlier_strings(data: np.ndarray, owner: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
     """For each string of each stretch, in order: whether it also starts in a stretch of a smaller owner.
 
-    Equal strings have equal keys. So a key under which all stretches are alike, as inside of copies, needs no array.
+    Copies of a stretch are taken together; every string of every distinct stretch goes through a suffix array. Shards
+    of SHARD_BYTES have one array each, and their sorted strings are merged by binary search.
     """
     size = count + length - 1
     begin = np.cumsum(size) - size
@@ -247,18 +243,10 @@ def earlier_strings(data: np.ndarray, owner: np.ndarray, count: np.ndarray, leng
     order = np.lexsort((owner, two, one))
     new = np.ones(len(order), bool)
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    new = tx.equal_groups(data, begin[order], size[order], new)
     heads = order[new]  # the copy of least owner stands for each distinct stretch
     distinct = np.empty(len(order), np.int64)
     distinct[order] = np.cumsum(new) - 1
-    if key is not None:
-        _, of, times = np.unique(key[heads], return_inverse=True, return_counts=True)
-        mixed = np.flatnonzero((times[of] > 1)[distinct])
-        out = np.repeat(owner[heads][distinct] < owner, count)
-        if len(mixed):
-            inside = np.zeros(len(count), bool)
-            inside[mixed] = True
-            out[np.repeat(inside, count)] = earlier_strings(_gather(data, begin[mixed], size[mixed]), owner[mixed], count[mixed], length)
-        return out
     shard_of = (np.cumsum(size[heads]) - size[heads]) // SHARD_BYTES
     text, least, bounds = [], [], []
     for s in np.unique(shard_of):

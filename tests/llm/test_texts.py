@@ -343,3 +343,54 @@ def test_stages_of_the_pipeline(spark, tmp_path):
     assert not ids & {200, 201, 202} and ids
     pieces = pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == ids
+
+
+def thue_morse(n, flip=0):
+    """Letters by the parity of the one bits of their places; sums of powers cannot tell a row from its complement."""
+    return "".join("ab"[(k.bit_count() + flip) & 1] for k in range(n))
+
+
+def test_hashes_tell_rearranged_texts_apart(spark):
+    one, two = thue_morse(2048), thue_morse(2048, 1)
+    buf, off = tx.flat(pa.array([one, two, one, "", "a" * 9, "a" * 10]))
+    for lane in (0, 1):
+        h = tx.span_hash(buf, off[:-1], off[1:], lane).tolist()
+        assert h[0] == h[2] and len(set(h)) == 5
+    # a group whose members differ in their bytes is taken apart, whatever the hash says
+    claimed = np.array([True, False, False, True, True, False])
+    assert tx.equal_groups(buf, off[:-1], np.diff(off), claimed).tolist() == [True, True, True, True, True, True]
+    assert tx.equal_groups(buf, off[[0, 2]], np.diff(off)[[0, 2]], np.array([True, False])).tolist() == [True, False]
+    docs = lambda a, b: spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    lead = "".join(f"w{k} " for k in range(19))
+    out = dedup_substrings(docs(lead + one, lead + two)).collect()
+    assert [r.n_removed for r in out] == [0, 0]
+    out = dedup_lines(docs(f"x\ny\n{one}", f"x\ny\n{two}")).collect()
+    assert [r.n_removed for r in out] == [0, 0]
+    long = {0: thue_morse(4096), 1: thue_morse(4096, 1)}
+    want = {long[1][s : s + 200] for s in range(4096 - 199)} & {long[0][s : s + 200] for s in range(4096 - 199)}
+    gone = [False] * 4096
+    for s in range(4096 - 199):
+        if long[1][s : s + 200] in want:
+            gone[s : s + 200] = [True] * 200
+    found = {r.doc_id: r.n_removed for r in dedup_bytes(docs(long[0], long[1]), 200).collect()}
+    assert found == {1: 0, 2: sum(gone)}
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    for r in packing.pack_documents(docs(one, f"{one} {two}"), path, window=8192).collect():
+        ids = Tokenizer.from_file(path).encode(one if r.doc_id == 1 else f"{one} {two}", add_special_tokens=False).ids
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == [*ids, 0]
+
+
+def test_spans_compare_and_hash_like_their_bytes():
+    r = np.random.default_rng(5)
+    buf = r.integers(97, 99, 700, dtype=np.uint8)
+    a, b = r.integers(0, 400, 500), r.integers(0, 400, 500)
+    size = r.integers(0, 12, 500) * r.choice([1, 1, 1, 25], 500)
+    a[:100] = b[:100]
+    raw = buf.tobytes()
+    want = [raw[x : x + n] == raw[y : y + n] for x, y, n in zip(a, b, size)]
+    assert tx.same_spans(buf, a, b, size).tolist() == want
+    h = [tx.span_hash(buf, x, x + size) for x in (a, b)]
+    assert (h[0] == h[1]).tolist() == want and 100 < sum(want) < 500
