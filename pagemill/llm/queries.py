@@ -80,7 +80,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
-    out = dedup_lines(_docs(spark, sf_dir), run=3, gram=2)
+    out = dedup_lines(_docs(spark, sf_dir), run=3, words=8)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -110,10 +110,11 @@ per AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id)
 SELECT w.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
 sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256 FROM w LEFT JOIN per ON per.doc_id = w.doc_id""",
     "op8_line_dedup": """WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
-i AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS s, regexp_replace(raw, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS t FROM a WHERE regexp_matches(raw, '[^\\x20\\x09-\\x0D]')),
-g AS (SELECT doc_id, s, t, lead(t, 1) OVER o AS t1, lead(t, 2) OVER o AS t2 FROM i WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
-f AS (SELECT doc_id, s, min({'d': doc_id, 's': s}) OVER (PARTITION BY t, t1, t2) AS low FROM g WHERE t2 IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 3)) AS s FROM f WHERE {'d': doc_id, 's': s} > low),
+i AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS s, regexp_replace(raw, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS t, len(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+')) AS n FROM a WHERE regexp_matches(raw, '[^\\x20\\x09-\\x0D]')),
+g AS (SELECT doc_id, s, t, lead(t, 1) OVER o AS t1, lead(t, 2) OVER o AS t2, n, lead(n, 1) OVER o AS n1 FROM i WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+m AS (SELECT doc_id, s, t, t1, t2, CASE WHEN n >= 8 THEN 1 WHEN n + n1 >= 8 THEN 2 WHEN t2 IS NOT NULL THEN 3 END AS size FROM g),
+f AS (SELECT doc_id, s, size, min({'d': doc_id, 's': s}) OVER (PARTITION BY size, t, CASE WHEN size > 1 THEN t1 END, CASE WHEN size > 2 THEN t2 END) AS low FROM m WHERE size IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + size)) AS s FROM f WHERE {'d': doc_id, 's': s} > low),
 lost AS (SELECT i.doc_id, i.k FROM i JOIN gone ON gone.doc_id = i.doc_id AND gone.s = i.s)
 SELECT a.doc_id AS doc_id, count(i.k) AS n_lines, count(lost.k) AS n_removed, sha256(coalesce(string_agg(CASE WHEN lost.k IS NULL THEN raw END, chr(10) ORDER BY a.k), '')) AS kept_sha256
 FROM a LEFT JOIN i ON i.doc_id = a.doc_id AND i.k = a.k LEFT JOIN lost ON lost.doc_id = a.doc_id AND lost.k = a.k GROUP BY a.doc_id""",

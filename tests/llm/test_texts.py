@@ -96,22 +96,42 @@ def test_bytes_equal_brute_force(spark, monkeypatch, length, shard):
     assert sum(w[2] for w in want) > 500
 
 
-@pytest.mark.parametrize("run,gram", [(3, 2), (2, 1), (4, 2)])
-def test_lines_equal_brute_force(spark, run, gram):
+def line_windows(units, run, words):
+    """(start, content) of each window: the fewest lines with so many words, or `run` lines."""
+    for s in range(len(units)):
+        size = next((m for m in range(1, run + 1) if m == run or sum(len(split(x)) for x in units[s : s + m]) >= words), run)
+        if s + size <= len(units):
+            yield s, tuple(units[s : s + size])
+
+
+@pytest.mark.parametrize("run,words", [(3, 8), (2, 10**6), (4, 25), (1, 1)])
+def test_lines_equal_brute_force(spark, run, words):
     rows = corpus(5)
     cut = [(r[1] or "").split("\n") for r in rows]
     ink = [[k for k, line in enumerate(c) if line.strip(SPACES)] for c in cut]
     units = [[c[k].strip(SPACES) for k in i] for c, i in zip(cut, ink)]
-    drops = covered_by_later(rows, units, run, lambda a, b: a > b)
+    first = earliest((w, key_of(r), s) for r, u in zip(rows, units) for s, w in line_windows(u, run, words))
     want = []
-    for r, c, i, d in zip(rows, cut, ink, drops):
-        gone = {k for k, x in zip(i, d) if x}
+    for r, c, i, u in zip(rows, cut, ink, units):
+        drop = {s + k for s, w in line_windows(u, run, words) if (key_of(r), s) > first[w] for k in range(len(w))}
+        gone = {i[k] for k in drop}
         want.append((r[0], len(i), len(gone), None if r[1] is None else "\n".join(line for k, line in enumerate(c) if k not in gone)))
-    got = dedup_lines(frame(spark, rows), run, gram).collect()
+    got = dedup_lines(frame(spark, rows), run, words).collect()
     assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got), key=str) == sorted(want, key=str)
     assert sum(w[2] for w in want) > 20
 
 
+def test_every_window_selects_a_line():
+    from pagemill.llm.lines import Lines, windows, winnow
+
+    texts = [r[1] for r in corpus(8)]
+    lines = Lines(*tx.flat(pa.array(texts)))
+    at, size = windows(lines, 5, 40)
+    chosen, sizes = winnow(lines, 5, 40)
+    held = {(int(p) - o, int(n)) for p, row in zip(chosen, sizes) for o, n in enumerate(row) if n}
+    assert held == set(zip(at.tolist(), size.tolist())) and len(chosen) < 0.8 * len(at)
+
+
 def plain_fingerprint(text, shingle):
     w = split(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))] if w else []
