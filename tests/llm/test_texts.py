@@ -414,3 +414,16 @@ def test_spans_compare_and_hash_like_their_bytes():
     assert tx.same_spans(buf, a, b, size).tolist() == want
     h = [tx.span_hash(buf, x, x + size) for x in (a, b)]
     assert (h[0] == h[1]).tolist() == want and 100 < sum(want) < 500
+
+
+def test_stages_keep_columns_whose_names_operators_use(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    lines = "one two three four five six seven eight nine\n" * 2
+    rows = [(k, t, lang, -1.5, "three", "none", 7, "mine", "c0", True) for k, t, lang in [(1, lines + "kept one", "en"), (2, "zwei wörter", None), (3, "other words " * 30, "en"), (4, "other words " * 31, "en"), (5, None, "en")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, n_lines string, n_removed string, n_words int, lang_pred string, column_0 string, kept boolean")
+    kept = docs
+    for _, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, "")
+        assert kept.dtypes == docs.dtypes
+        assert {tuple(r)[3:] for r in kept.collect()} == {(-1.5, "three", "none", 7, "mine", "c0", True)}
+    assert {r.doc_id: r.text for r in kept.collect()}[1] == "one two three four five six seven eight nine kept one"
