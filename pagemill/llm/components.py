@@ -7,19 +7,36 @@ from pyspark.sql import DataFrame, functions as F
 from .session import shared_checkpoint
 
 
+HOT_ROWS, HOT_KEYS = 1024, 10_000
+
+
+def join_hot(rows: DataFrame, once: DataFrame, by: list[str], times: str, n_rows: int) -> DataFrame:
+    """rows joined with `once` on `by`, where `once` has each key once and says in `times` how many rows have it.
+
+    Rows of a key with n_rows / HOT_KEYS rows or more stay where they are and get their match by broadcast: there are
+    HOT_KEYS such keys at most, whatever the input. Only the others are dealt out by key, so none of them fills a task.
+    """
+    limit = max(HOT_ROWS, n_rows // HOT_KEYS)
+    hot = F.broadcast(once.where(F.col(times) >= limit).drop(times))
+    cold = rows.join(hot.select(by), by, "left_anti").join(once.where(F.col(times) < limit).drop(times), by)
+    return rows.join(hot, by).unionByName(cold)
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of links (a, b); the component is its smallest member.
 
-    Every round points nodes at smaller neighbours with aggregations and joins on the node, so no component is ever
-    gathered in one place; rounds end once all links lead straight to a root. Loops and repeated links are harmless.
+    Every round points nodes at smaller neighbours with aggregations and joins on the node; nodes with many neighbours
+    do not travel to one task (see join_hot), so no component is ever gathered in one place. Rounds end once all links
+    lead straight to a root. Loops and repeated links are harmless.
     """
     edges = shared_checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         if _is_star(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = edges.join(low, F.col("v") == F.col("x")).select("u", F.col("m").alias("v")).distinct()
+        ends = edges.select("u", "v", F.lit(0).alias("as_v")).union(edges.select("v", "u", F.lit(1)))
+        low = ends.groupBy("u").agg(F.min("v").alias("m"), F.sum("as_v").alias("times"))
+        low = low.select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "times").where("times > 0")
+        large = join_hot(edges, low, ["v"], "times", edges.count()).select("u", F.col("m").alias("v")).distinct()
         low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("x"))
         edges = shared_checkpoint(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct())

@@ -11,10 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textops as tx
-from .components import components
+from .components import components, join_hot
 from .session import prepare, shared_checkpoint
 
-LEAF, FAN, SMALL = 16, 8, 24
+LEAF, FAN, PAIRS = 16, 8, 1 << 16
 BLOCK_SHINGLES, TRIES = 1 << 20, 32
 HEAVY, PART_KEYS = 16, 1 << 20
 
@@ -117,112 +117,124 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def gray_order(codes: np.ndarray) -> np.ndarray:
-    """Rows of codes in the order of the reflected Gray sequence, where neighbours differ in few bits."""
+def gray_order(codes: np.ndarray, bucket: np.ndarray | None = None) -> np.ndarray:
+    """Rows of codes by bucket, then in the order of the reflected Gray sequence, where neighbours differ in few bits."""
     ranks, odd = [], np.zeros(len(codes), np.uint64)
     for x in codes.T:
         for s in (1, 2, 4, 8, 16, 32):
             x = x ^ (x >> np.uint64(s))
         ranks.append(x ^ (np.uint64(0) - odd))
         odd = ranks[-1] & np.uint64(1)
-    return np.lexsort(ranks[::-1])
+    return np.lexsort(ranks[::-1] + ([] if bucket is None else [bucket]))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
-def radius_links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that connect exactly what all pairs of codes within the radius connect.
+class GrayIndex:
+    """Codes sorted by bucket and Gray rank, under nodes of LEAF codes, then of FAN nodes each; one top node a bucket.
 
-    Codes are sorted by Gray rank; each node of the index holds the bits that all codes below it share. The shared bits
-    in which two nodes differ are a lower bound for all pairs below: over the radius, the whole pair of groups goes. If
-    even all unshared bits together stay within the radius, everything below links, and a spanning set of pairs does.
-    Near neighbours of the order link first; groups that are one component already need no further look.
+    A node holds the bit pattern that all codes below it share (`ands` where not `loose`).
     """
-    order = gray_order(codes)
-    f = codes[order]
-    n = len(f)
-    left, right = [], []
-    for step in range(1, min(9, n)):
-        p = np.flatnonzero(distance(f[:-step], f[step:]) <= radius)
-        left.append(p)
-        right.append(p + step)
-    label = tx.forest(n, np.concatenate(left), np.concatenate(right)) if left else np.arange(n)
-    cuts = [np.arange(0, n, LEAF)]
-    while len(cuts[-1]) > FAN:
-        cuts.append(cuts[-1][::FAN])
-    ands = [np.bitwise_and.reduceat(f, c) for c in cuts]
-    loose = [a ^ np.bitwise_or.reduceat(f, c) for a, c in zip(ands, cuts)]
-    lows, highs = [np.minimum.reduceat(label, c) for c in cuts], [np.maximum.reduceat(label, c) for c in cuts]
-    top = len(cuts) - 1
-    a, b = np.triu_indices(len(cuts[top]))
-    for level in range(top, -1, -1):
-        at, end, low, high = cuts[level], np.r_[cuts[level][1:], n], lows[level], highs[level]
-        kept_a, kept_b = [], []
-        for lo in range(0, len(a), 1 << 18):
-            x, y = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
-            joined = (low[x] == high[x]) & (low[y] == high[y]) & (low[x] == low[y])
-            x, y = x[~joined], y[~joined]
-            differ, free = ands[level][x] ^ ands[level][y], loose[level][x] | loose[level][y]
-            near = np.bitwise_count(differ & ~free).sum(1, dtype=np.int64) <= radius
-            whole = near & (np.bitwise_count(differ | free).sum(1, dtype=np.int64) <= radius)
-            for p, q in ((x[whole], y[whole]), (y[whole], x[whole])):
-                size = end[q] - at[q]
-                start = np.repeat(at[q] - (np.cumsum(size) - size), size)
-                left.append(np.repeat(at[p], size))
-                right.append(start + np.arange(size.sum()))
-            kept_a.append(x[near & ~whole])
-            kept_b.append(y[near & ~whole])
-        a, b = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (kept_a, kept_b))
-        if level:
-            m, (i, j) = len(cuts[level - 1]), np.indices((FAN, FAN)).reshape(2, -1)
-            down_a, down_b = [], []
-            for lo in range(0, len(a), 1 << 14):
-                p = (a[lo : lo + (1 << 14), None] * FAN + i).ravel()
-                q = (b[lo : lo + (1 << 14), None] * FAN + j).ravel()
-                real = (p < m) & (q < m) & (p <= q)
-                down_a.append(p[real])
-                down_b.append(q[real])
-            a, b = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (down_a, down_b))
-    i, j = np.indices((LEAF, LEAF)).reshape(2, -1)
-    for lo in range(0, len(a), 1 << 11):
-        p = (a[lo : lo + (1 << 11), None] * LEAF + i).ravel()
-        q = (b[lo : lo + (1 << 11), None] * LEAF + j).ravel()
-        real = (p < q) & (q < n)
-        p, q = p[real], q[real]
-        near = distance(f[p], f[q]) <= radius
-        p, q = p[near], q[near]
+
+    def __init__(self, codes: np.ndarray, bucket: np.ndarray):
+        self.order = gray_order(codes, bucket)
+        self.codes, bucket = codes[self.order], bucket[self.order]
+        n = len(bucket)
+        opens = np.r_[True, bucket[1:] != bucket[:-1]][:n]
+        place = np.cumsum(opens) - 1
+        first = np.flatnonzero(opens)
+        cuts, self.children = np.flatnonzero((np.arange(n) - first[place]) % LEAF == 0), []
+        self.cuts = [cuts]
+        while len(self.cuts[-1]) > len(first):
+            own = place[self.cuts[-1]]
+            up = np.flatnonzero((np.arange(len(own)) - np.searchsorted(own, own)) % FAN == 0)
+            self.children.append(np.r_[up, len(own)])
+            self.cuts.append(self.cuts[-1][up])
+        self.ends = [np.r_[c[1:], n] for c in self.cuts]
+        self.ands = [np.bitwise_and.reduceat(self.codes, c) if n else self.codes for c in self.cuts]
+        self.loose = [a ^ np.bitwise_or.reduceat(self.codes, c) if n else a for a, c in zip(self.ands, self.cuts)]
+
+    def members(self, level: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the children of nodes begin and end: nodes of the level below, or codes."""
+        return (self.children[level - 1][x], self.children[level - 1][x + 1]) if level else (self.cuts[0][x], self.ends[0][x])
+
+
+def _products(begin_a, end_a, begin_b, end_b) -> tuple[np.ndarray, np.ndarray]:
+    """All (p, q) with p in begin_a..end_a and q in begin_b..end_b, for each row."""
+    wide = end_b - begin_b
+    count = (end_a - begin_a) * wide
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    wide = np.repeat(wide, count)
+    return np.repeat(begin_a, count) + at // wide, np.repeat(begin_b, count) + at % wide
+
+
+def radius_links(codes: np.ndarray, radius: int, bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that connect exactly what all pairs of codes of one bucket within the radius connect.
+
+    Every pair of a bucket is decided by the Gray index. The shared bits in which two nodes differ are a lower bound for
+    all pairs below: over the radius, the whole pair of groups goes. If even all unshared bits together stay within the
+    radius, everything below links, and a spanning set of pairs does. Groups that are one component already need no
+    further look. Pairs of nodes are taken depth-first, in arrays of bounded size.
+    """
+    n = len(codes)
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    index = GrayIndex(codes, np.zeros(n, np.int64) if bucket is None else bucket)
+    f, left, right, label = index.codes, [], [], np.arange(n)
+
+    def link(p, q):
+        nonlocal label
         apart = label[p] != label[q]
-        left.append(p[apart])
-        right.append(q[apart])
-    left, right = (order[np.concatenate(s)] if s else np.zeros(0, np.int64) for s in (left, right))
+        p, q = p[apart], q[apart]
+        if len(p):
+            members, at = np.unique(np.concatenate([label[p], label[q]]), return_inverse=True)
+            small = tx.forest(len(members), at[: len(p)], at[len(p) :])
+            moved = np.arange(n)
+            moved[members] = members[small]
+            label = moved[label]
+            left.append(p)
+            right.append(q)
+
+    top = len(index.cuts) - 1
+    own = np.arange(len(index.cuts[top]))
+    todo = [(top, own[lo : lo + PAIRS], own[lo : lo + PAIRS]) for lo in range(0, len(own), PAIRS)]
+    while todo:
+        level, a, b = todo.pop()
+        differ, free = index.ands[level][a] ^ index.ands[level][b], index.loose[level][a] | index.loose[level][b]
+        near = np.bitwise_count(differ & ~free).sum(1, dtype=np.int64) <= radius
+        whole = near & (np.bitwise_count(differ | free).sum(1, dtype=np.int64) <= radius)
+        at, end = index.cuts[level], index.ends[level]
+        for p, q in ((a[whole], b[whole]), (b[whole], a[whole])):
+            link(*_products(at[p], at[p] + 1, at[q], end[q]))
+        a, b = a[near & ~whole], b[near & ~whole]
+        if len(a) > FAN:  # not worth the look for few
+            low, high = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
+            joined = (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
+            a, b = a[~joined], b[~joined]
+        step = max(1, PAIRS // (FAN * FAN if level else LEAF * LEAF))
+        for lo in range(0, len(a), step):
+            p, q = _products(*index.members(level, a[lo : lo + step]), *index.members(level, b[lo : lo + step]))
+            if level:
+                todo.append((level - 1, p[p <= q], q[p <= q]))
+            else:
+                p, q = p[p < q], q[p < q]
+                close = distance(f[p], f[q]) <= radius
+                link(p[close], q[close])
+    left, right = (index.order[np.concatenate(s)] if s else np.zeros(0, np.int64) for s in (left, right))
     return left, right
 
 
-def bucket_links(bucket: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """As radius_links, for codes of equal bucket only; buckets are sorted."""
-    left, right = [], []
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-    size = np.diff(cuts)
-    small = np.repeat(size <= SMALL, size)
-    for step in range(1, int(min(SMALL, size.max(initial=0)))):
-        p = np.flatnonzero((bucket[step:] == bucket[:-step]) & small[step:])
-        p = p[distance(codes[p], codes[p + step]) <= radius]
-        left.append(p)
-        right.append(p + step)
-    for c in np.flatnonzero(size > SMALL):
-        p, q = radius_links(codes[cuts[c] : cuts[c + 1]], radius)
-        left.append(p + cuts[c])
-        right.append(q + cuts[c])
-    return tuple(np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
-
-
-def exact_tables(radius: int) -> list[tuple[int, ...]]:
-    """Masks for 64 bits: cut into radius + 2 runs, two codes within the radius agree in two runs at least."""
-    edges = np.linspace(0, 64, radius + 3).astype(int)
+def exact_tables(radius: int, n: int = 0) -> list[tuple[int, ...]]:
+    """Masks for 64 bits: cut into radius + m runs, two codes within the radius agree in m runs at least.
+
+    m is 2 at first; it grows with the number n of codes, so that about 32 strangers at most share a table's bits.
+    """
+    m = next((m for m in (2, 3) if n >> (64 * m // (radius + m)) <= 32), 4)
+    edges = np.linspace(0, 64, radius + m + 1).astype(int)
     runs = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges[:-1], edges[1:])]
-    return [(x | y,) for x, y in combinations(runs, 2)]
+    return [(sum(own),) for own in combinations(runs, m)]
 
 
 def sampled_tables(lanes: int, n: int, apart: float, miss: float) -> list[tuple[int, ...]]:
@@ -263,7 +275,7 @@ def radius_components(codes: DataFrame, radius: int, keys, parts: int = 1) -> Da
         order = np.argsort(key, kind="stable")
         again = key[order][1:] == key[order][:-1]
         order = order[np.r_[again, False] | np.r_[False, again]]  # a key that one code has meets nothing
-        p, q = bucket_links(key[order], fp[order], radius)
+        p, q = radius_links(fp[order], radius, key[order])
         p, q = order[p], order[q]
         members, at = np.unique(node, return_inverse=True)
         label = tx.forest(len(members), at[p], at[q])
@@ -383,15 +395,16 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: in
     null = F.lit(tx.NULL_ID)
     node = F.min(F.coalesce("doc_id", null)).alias("node")
     if jaccard is None:
-        nodes = shared_checkpoint(rows.groupBy(*prints).agg(node))
-        tables = exact_tables(radius) if lanes == 1 and radius <= 8 else sampled_tables(lanes, nodes.count(), radius / (64 * lanes), miss)
-        found = radius_components(nodes, radius, table_keys(tables))
+        nodes = shared_checkpoint(rows.groupBy(*prints).agg(node, F.count("*").alias("copies")))
+        n = nodes.count()
+        tables = exact_tables(radius, n) if lanes == 1 and radius <= 8 else sampled_tables(lanes, n, radius / (64 * lanes), miss)
+        found = radius_components(nodes, radius, table_keys(tables), -(-n * len(tables) // PART_KEYS))
     else:  # equal sets have equal keys
-        keyed = shared_checkpoint(rows.groupBy(*by).agg(node, F.first("keys").alias("keys")))
+        keyed = shared_checkpoint(rows.groupBy(*by).agg(node, F.count("*").alias("copies"), F.first("keys").alias("keys")))
         nodes, n_keys = keyed.drop("keys"), keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
         found = radius_components(keyed, radius, F.col("keys"), -(-n_keys // PART_KEYS))
         found = confirmed(docs, nodes, found, shingle, radius, jaccard, text, doc_id)
     # two fingerprints may share a smallest id only if that id repeats; then they are one node
-    nodes = nodes.join(found, "node", "left").select(*by, F.nullif(F.coalesce("component", "node"), null).alias("component_id"))
+    nodes = nodes.join(found, "node", "left").select(*by, "copies", F.nullif(F.coalesce("component", "node"), null).alias("component_id"))
     text_of = F.concat(*[F.lower(F.lpad(F.hex(p), 16, "0")) for p in prints])
-    return rows.join(nodes, by).select("doc_id", text_of.alias("fingerprint"), "component_id")
+    return join_hot(rows, nodes, by, "copies", rows.count()).select("doc_id", text_of.alias("fingerprint"), "component_id")

@@ -175,6 +175,37 @@ def test_radius_links_connect_what_all_pairs_connect(lanes, radius):
     assert (d[p, q] <= radius).all() and (tx.forest(n, p, q) == tx.forest(n, a, b)).all()
 
 
+@pytest.mark.parametrize("leaf,fan,pairs", [(16, 8, 1 << 16), (2, 2, 3)])
+def test_gray_index_decides_buckets_of_every_size(monkeypatch, leaf, fan, pairs):
+    from pagemill.llm import simhash
+
+    for name, value in (("LEAF", leaf), ("FAN", fan), ("PAIRS", pairs)):
+        monkeypatch.setattr(simhash, name, value)
+    r = np.random.default_rng(8)
+    bucket = np.repeat(np.arange(60), r.integers(1, 40, 60) * r.choice([1, 1, 6], 60))
+    codes = np.zeros((len(bucket), 1), np.uint64)
+    for _ in range(5):
+        codes[:, 0] ^= np.uint64(1) << r.integers(0, 20, len(bucket)).astype(np.uint64)
+    mixed = r.permutation(len(bucket))
+    bucket, codes = bucket[mixed], codes[mixed]
+    near = (np.bitwise_count(codes ^ codes.T) <= 2) & (bucket[:, None] == bucket[None])
+    a, b = np.nonzero(np.triu(near, 1))
+    p, q = radius_links(codes, 2, bucket)
+    assert near[p, q].all() and len(p) < len(bucket) and (tx.forest(len(bucket), p, q) == tx.forest(len(bucket), a, b)).all()
+
+
+def test_tables_meet_all_codes_within_the_radius():
+    from pagemill.llm.simhash import exact_tables
+
+    r = np.random.default_rng(9)
+    for n, tables in ((10**5, 15), (10**9, 35), (10**12, 70)):
+        masks = [int(m[0]) for m in exact_tables(4, n)]
+        assert len(masks) == tables
+        for _ in range(500):
+            differ = sum(1 << int(b) for b in r.choice(64, 4, replace=False))
+            assert any(not differ & m for m in masks)
+
+
 def test_wide_simhash_finds_near_copies(spark):
     r = random.Random(4)
     rows = []
@@ -347,6 +378,15 @@ def test_components_of_long_chains(spark):
     assert got == {i: 100 for i in range(100, 161)} | {5: 5, 7: 5, 9: 5}
 
 
+def test_components_of_large_stars(spark, monkeypatch):
+    from pagemill.llm import components as c
+
+    monkeypatch.setattr(c, "HOT_ROWS", 20)
+    links = [(0 if i % 3 else 900, i) for i in range(1, 300)] + [(900, 7), (1000, 1001), (1002, 1001)]
+    got = {r.node: r.component for r in c.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(300), 900]} | {1000: 1000, 1001: 1000, 1002: 1000}
+
+
 def test_stages_of_the_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(r[0] if r[0] is not None else 900, r[1], r[2], r[3], len(r[1] or "")) for r in corpus(11, 40)]
