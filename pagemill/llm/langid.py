@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
@@ -16,7 +15,7 @@ SIZES = (3, 5)
 HASHES = 2
 CELL_BITS = 20
 GRAMS = 30_000
-LANGUAGES = 256  # at most so many are learnt, the commonest
+CHOSEN_ROWS = 1 << 20  # so many ids and labels are broadcast at most; a longer list is joined by shuffling ids
 
 # ASCII bytes that are no letters count as one separator.
 FOLD = np.full(256, 32, np.uint8)
@@ -73,53 +72,47 @@ class Filters:
         return np.maximum(0, (out - total[:, None] * self.false_rate) / (1 - self.false_rate))
 
 
-def learn(docs: DataFrame, per_lang: int = 1500, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, np.ndarray]:
-    """The n-gram codes of each language, from at most `per_lang` documents of it, chosen by a hash of the id.
+def learn(docs: DataFrame, per_lang: int = 1500, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", n_grams: int = GRAMS) -> dict[str, np.ndarray]:
+    """The n-gram codes of each value of lang, from at most `per_lang` documents of it, chosen by a hash of the id.
 
-    A language keeps its GRAMS most frequent n-grams but those that another language uses more than twice as often.
+    A language keeps its `n_grams` most frequent n-grams of each size but those that another language uses more than
+    twice as often. Both bounds are parameters; every language is learnt. Texts do not travel, only n-gram counts do.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
+    known = known.select(F.col(doc_id).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
 
-    sizes = known.groupBy(F.col(lang).alias("__lang")).count().orderBy(F.desc("count"), "__lang").limit(LANGUAGES)
-    draw = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 40)) / (1 << 40)
-    chosen = known.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("__lang"), draw.alias("h")).join(F.broadcast(sizes), "__lang")
+    sizes = known.groupBy("lang").count()
+    n_langs = sizes.count()
+    small = F.broadcast if n_langs * (per_lang + 1) <= CHOSEN_ROWS else (lambda rows: rows)
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / (1 << 40)
+    chosen = known.select("id", "lang", draw.alias("h")).join(small(sizes), "lang")
     # slightly more than are wanted, evenly drawn, so that the exact cut sees few rows whatever a language's size
     chosen = chosen.where(F.col("h") * F.col("count") < per_lang + 4 * per_lang**0.5 + 8)
-    chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy("__lang").orderBy("h", "__id"))).where(F.col("k") <= per_lang)
-    chosen = chosen.select("__id", "__lang").distinct()
-    sample = known.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("__lang"), F.col(text).alias("__text")).join(chosen, ["__id", "__lang"])
+    chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= per_lang)
+    sample = known.join(small(chosen.select("id", "lang").distinct()), ["id", "lang"], "left_semi").select("lang", "text")
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pa.RecordBatch.from_arrays([pc.utf8_lower(pa.array(pdf["__text"], pa.string()))], ["t"])
-        codes, numbers, totals = [], [], []
-        for size in SIZES:
-            code, number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            for _, buf, off in tx.slices(rows, "t", 1 << 19):  # counts add up slice by slice
-                more, times = np.unique(grams(buf, off, size)[1], return_counts=True)
-                code, at = np.unique(np.concatenate([code, more]), return_inverse=True)
-                number = np.bincount(at, np.concatenate([number, times]), len(code)).astype(np.int64)
-            keep = np.argsort(-number, kind="stable")[:GRAMS]
-            codes.append(code[keep])
-            numbers.append(number[keep])
-            totals.append(np.full(len(keep), max(1, number.sum())))
-        return pd.DataFrame({"lang": pdf["__lang"].iloc[:1], "code": [np.concatenate(codes).tobytes()], "share": [(np.concatenate(numbers) / np.concatenate(totals)).tobytes()]})
-
-    found = {r["lang"]: (np.frombuffer(r["code"], np.uint64), np.frombuffer(r["share"])) for r in sample.groupBy("__lang").applyInPandas(count, "lang string, code binary, share binary").collect()}
-    assert spark is not None
-    if not found:
-        return {}
-    every = np.unique(np.concatenate([c for c, _ in found.values()]))
-    top = np.zeros(len(every))
-    for code, share in found.values():
-        at = np.searchsorted(every, code)
-        top[at] = np.maximum(top[at], share)
-    return {name: code[share >= 0.5 * top[np.searchsorted(every, code)]] for name, (code, share) in found.items()}
+    def count(batches):
+        for batch in batches:
+            names, which = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
+            for k, name in enumerate(names):
+                rows = pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column("text").take(pa.array(np.flatnonzero(which == k))))], ["t"])
+                for _, buf, off in tx.slices(rows, "t", 1 << 19):
+                    for size in SIZES:
+                        code, times = np.unique(grams(buf, off, size)[1], return_counts=True)
+                        yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(code), pa.string()), "size": pa.array(np.full(len(code), size, np.int32)), "code": pa.array(code.view(np.int64)), "n": pa.array(times)})
+
+    counts = sample.mapInArrow(count, "lang string, size int, code long, n long").groupBy("lang", "size", "code").agg(F.sum("n").alias("n"))
+    kind = Window.partitionBy("lang", "size")
+    often = counts.withColumn("share", F.col("n") / F.sum("n").over(kind)).withColumn("k", F.row_number().over(kind.orderBy(F.desc("n"), "code"))).where(F.col("k") <= n_grams)
+    own = often.withColumn("top", F.max("share").over(Window.partitionBy("code"))).where("share >= 0.5 * top")
+    found = own.groupBy("lang").agg(F.sort_array(F.collect_list("code")).alias("codes")).collect()  # bounded: n_grams of each size a language
+    return {r["lang"]: np.array(r["codes"], np.int64).view(np.uint64) for r in found}
 
 
 def predict(docs: DataFrame, by_lang: dict[str, np.ndarray], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs' columns plus lang_pred and score; see `identify`."""
-    shared = docs.sparkSession.sparkContext.broadcast(by_lang)  # bounded: 2 * GRAMS numbers a language
+    shared = docs.sparkSession.sparkContext.broadcast(by_lang)  # bounded: n_grams numbers of each size a language
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
