@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from . import textops as tx
 from .session import prepare
 
 BITS = 20
-STORED_FEATURES = 24_000_000  # of the training sample, at eight bytes each
 
 # Byte classes of word shapes: letters by case, digits, every other ASCII character as itself, other bytes as lower case.
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -72,16 +72,26 @@ def ftrl(examples, epochs: int = 4, alpha: float = 0.6, beta: float = 1.0, l1: f
     return weights(np.arange(len(z)))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> np.ndarray:
-    """Weights (the last is the bias) learnt from at most `rows` of the labelled documents, chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, text_bytes: int = 32 << 20, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> np.ndarray:
+    """Weights (the last is the bias) learnt from a bounded sample of the labelled documents.
 
-    The sample's features are kept in one task, up to STORED_FEATURES of them; both bounds are all that limits it.
+    In the order of a hash of the id, the first `rows` documents with a label are taken, as long as their texts together
+    have no more than `text_bytes`; so the sample does not depend on how the tables are stored. Rows that repeat an id
+    and its text count once. Both bounds keep the one task that fits the model small, and are all that limits it.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("__label"))
-    chosen = chosen.orderBy(F.xxhash64(doc_id), doc_id).limit(rows)
-    sample = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    sample = sample.join(F.broadcast(chosen), F.col("__id") == F.col(doc_id)).select("__id", "__text", F.col("__label").cast("int").alias("__label"))
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64(doc_id), doc_id).limit(rows).select(F.col(doc_id).alias("__id"), F.col("__label").cast("int").alias("__label")))
+    sample = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.xxhash64(text).alias("__like"))
+    order = [F.xxhash64("__id"), "__id", "__like"]
+    sizes = sample.join(chosen, "__id").select("__id", "__like", F.octet_length("__text").alias("size")).distinct().orderBy(*order).limit(rows).collect()
+    taken, total = [], 0
+    for r in sizes:
+        total += r["size"]
+        if total <= text_bytes:
+            taken.append((r["__id"], r["__like"]))
+    taken = docs.sparkSession.createDataFrame(taken, T.StructType([T.StructField("__id", docs.schema[doc_id].dataType), T.StructField("__like", T.LongType())]))
+    sample = sample.join(F.broadcast(taken), ["__id", "__like"]).join(chosen, "__id").dropDuplicates(["__id", "__like"]).select("__id", "__text", "__label")
 
     def featurise(batches):
         for batch in batches:
@@ -95,13 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, text: str = "tex
                         "feat": pa.array([feat[own].astype(np.int32).tobytes()], pa.binary()), "value": pa.array([value[own].astype(np.float32).tobytes()], pa.binary())})
 
     def fit(batches):
-        found, stored = [], 0
-        for batch in batches:
-            for r in batch.to_pylist():
-                if stored < STORED_FEATURES:
-                    found.append((r["id"], r["feat"], r["value"], r["label"]))
-                    stored += len(r["feat"]) // 4
-        found.sort()
+        found = sorted((r["id"], r["feat"], r["value"], r["label"]) for batch in batches for r in batch.to_pylist())
         examples = [(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32).astype(float), y) for _, f, v, y in found]
         w = ftrl(examples).astype(np.float32)
         used = np.flatnonzero(w)
@@ -111,7 +115,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, text: str = "tex
     model = sample.mapInArrow(featurise, "id long, label int, feat binary, value binary").repartition(1).mapInArrow(fit, "at binary, w binary").collect()
     for r in model:
         out[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["w"], np.float32)
-    assert spark is not None
     return out
 
 
