@@ -11,36 +11,103 @@ from .bpe import Encoder
 from .session import prepare
 
 SHARD_BYTES = 2 << 20
-QUERY_TERMS = 12
+PART_BYTES = 64 << 20
 K1, B = 1.2, 0.75
+DF_BITS = 18
+N_DOCS, N_WORDS, N_BYTES = -1, -2, -3  # rows of the statistics beside the cells
+
+
+class Corpus:
+    """Statistics over all documents, of fixed size: document frequencies in 2**DF_BITS cells by word hash (words that
+    share a cell count together, so none counts too low), number of documents, mean words, bytes."""
+
+    def __init__(self, found: dict[int, int]):
+        self.docs, self.bytes = found.get(N_DOCS, 0), found.get(N_BYTES, 0)
+        self.mean = max(1e-9, found.get(N_WORDS, 0) / max(1, self.docs))
+        self.df = np.zeros(1 << DF_BITS, np.int64)
+        for cell, n in found.items():
+            if cell >= 0:
+                self.df[cell] = n
+
+    def frequency(self, hashes: np.ndarray) -> np.ndarray:
+        return self.df[_cell(hashes)]
+
+    def idf(self, hashes: np.ndarray) -> np.ndarray:
+        df = self.frequency(hashes)
+        return np.log1p((self.docs - df + 0.5) / (df + 0.5))
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)
+
+
+def corpus_statistics(docs: DataFrame) -> Corpus:
+    """Corpus of the column text; partial counts are merged by cell, and at most 2**DF_BITS + 3 rows reach the driver."""
+
+    def count(batches):
+        for table in tx.gathered(batches, "text", SHARD_BYTES):
+            buf, off = tx.flat(table.column("text"))
+            words = tx.Words(tx.LOWER[buf], off)
+            pair = np.unique((words.docs() << DF_BITS) | _cell(words.hashes()))
+            times = np.bincount(pair & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
+            cells = np.flatnonzero(times)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(np.r_[cells, N_DOCS, N_WORDS, N_BYTES]), "n": pa.array(np.r_[times[cells], len(off) - 1, len(words.starts), len(buf)])})
+
+    found = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return Corpus({r["cell"]: r["n"] for r in found.collect()})
+
+
+def content_keys(corpus: Corpus, buf: np.ndarray, off: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two keys of each document's words, and into how many heaps documents of the first key go.
+
+    A key is the least rank among the words that other documents have too; ranks are drawn by hash in proportion to the
+    words' idf (weighted MinHash), so documents have equal keys the likelier the more rare words they share. A word that
+    many documents have is cut into heaps, by its document frequency.
+    """
+    words = tx.Words(tx.LOWER[buf], off)
+    h, docs = words.hashes(), words.docs()
+    weight = np.where(corpus.frequency(h) > 1, corpus.idf(h), 0.0)
+    keys, heaps = [], np.ones(len(off) - 1, np.int64)
+    for seed in (11, 12):
+        draw = (tx.mix(h + np.uint64(seed)) >> np.uint64(11)).astype(float) / 2**53
+        with np.errstate(divide="ignore"):
+            rank = np.where(weight > 0, -np.log(np.maximum(draw, 1e-300)) / weight, np.inf)
+        low = np.full(len(off) - 1, np.inf)
+        filled = np.flatnonzero(words.counts)
+        if len(filled):
+            low[filled] = np.minimum.reduceat(rank, words.first[:-1][filled])
+        if seed == 11:
+            least = np.flatnonzero(np.isfinite(rank) & (rank == low[docs]))
+            heaps[docs[least]] = 1 + corpus.frequency(h[least]) * 4 * parts // max(1, corpus.docs)
+            heaps[np.isinf(low)] = 4 * parts
+        keys.append(low)
+    return keys[0], keys[1], heaps
 
 
 class ShardIndex:
-    """BM25 postings of one shard: for each term its documents and their weights."""
+    """BM25 postings of one shard, weighted by the statistics of the whole corpus."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, corpus: Corpus, query_terms: int = 12):
         words = tx.Words(tx.LOWER[buf], off)
         n = len(off) - 1
         terms, which = np.unique(words.hashes(), return_inverse=True)
         pair, tf = np.unique(words.docs() * max(1, len(terms)) + which, return_counts=True)
         doc, term = pair // max(1, len(terms)), pair % max(1, len(terms))
-        df = np.bincount(term, minlength=len(terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        length = words.counts / max(1e-9, words.counts.mean()) if n else words.counts
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc]))
-        # a query is a document's terms of most weight among those that any other document has
-        shared = df[term] > 1
+        here = np.bincount(term, minlength=len(terms))
+        weight = corpus.idf(terms)[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words.counts[doc] / corpus.mean))
+        # a query is a document's terms of most weight among those that any other document of the shard has
+        shared = here[term] > 1
         doc_q, term_q = doc[shared], term[shared]
         order = np.lexsort((term_q, -weight[shared], doc_q))
         self.query, self.query_at = term_q[order], np.searchsorted(doc_q[order], np.arange(n + 1))
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight, self.at = doc[order], weight[order], np.r_[0, np.cumsum(df)]
-        self.n = n
+        self.doc, self.weight, self.at = doc[order], weight[order], np.r_[0, np.cumsum(here)]
+        self.n, self.query_terms = n, query_terms
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a query term with the seed, best first; ties go to the smaller index."""
         lo, hi = self.query_at[seed], self.query_at[seed + 1]
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.query[lo : min(hi, lo + QUERY_TERMS)]]
+        spans = [slice(self.at[t], self.at[t + 1]) for t in self.query[lo : min(hi, lo + self.query_terms)]]
         if not spans:
             return np.zeros(0, np.int64)
         found = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
@@ -88,40 +155,55 @@ def pack_shard(index: ShardIndex, tokens: np.ndarray, window: int) -> list[tuple
         seed = cut
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, query_terms: int = 12, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Pieces of documents: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
     A document is its ids by the tokenizer file, then `end_id`. Each id lies in one piece; a sequence holds pieces from
-    offset 0 without gaps, `window` ids at most, and only the last one of a shard can hold fewer. Documents are dealt to
-    shards by a hash of the id, so a hot source or group of copies spreads evenly, and each shard of bounded size has
-    its own index; documents only travel once. The tokenizer file has to be at that path on all executors.
+    offset 0 without gaps, `window` ids at most, and only the last one of a shard can hold fewer. A seed's neighbours
+    are ranked by BM25 over its `query_terms` terms of most weight; frequencies and lengths are those of all documents.
+
+    Documents are dealt to shards by content: two keys by weighted MinHash bring documents that share rare words
+    together, at any number of documents. Documents of a frequent key are cut into heaps by a hash, so a hot source or a
+    group of copies spreads evenly. Each shard has its own index; a text travels once. The tokenizer file has to be at
+    that path on all executors. Sequence ids and the dealing depend on the number of shuffle partitions.
 
     Null text is empty: one piece with end_id alone. A null id is kept. Rows of equal id are packed one by one (sorted
     by text). An empty table gives an empty table; other columns are not read. A document longer than a shard is a
     shard of its own.
     """
     spark = prepare(docs.sparkSession)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    corpus = corpus_statistics(docs)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus.bytes // PART_BYTES), 1)
+    shared = spark.sparkContext.broadcast(corpus)  # bounded: 2**DF_BITS numbers
+
+    def route(batches):
+        for batch in batches:
+            for rows, buf, off in tx.slices(batch, "text", 1 << 20):
+                one, two, heaps = content_keys(shared.value, buf, off, parts)
+                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "text": rows.column("text"), "one": pa.array(one), "two": pa.array(two), "heaps": pa.array(heaps)})
+
+    dealt = docs.mapInArrow(route, "doc_id long, text string, one double, two double, heaps long")
     # the text's length deals out rows of one id (such as null) too
-    dealt = dealt.repartition(parts, F.xxhash64("doc_id", F.length("text"))).sortWithinPartitions("doc_id", "text")
+    heap = F.pmod(F.xxhash64("doc_id", F.length("text")), F.col("heaps"))
+    dealt = dealt.repartition(parts, F.xxhash64("one", heap)).sortWithinPartitions("one", "two", "doc_id", "text").select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
 
         encoder, base = Encoder(tokenizer), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for rows, buf, off in tx.slices(batch, "text", SHARD_BYTES):
-                parts = [encoder.encode(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in tx.chunks(off, 1 << 19)]
-                tokens = np.concatenate([np.diff(o) for _, o in parts]) + 1
-                ids = np.concatenate([i for i, _ in parts])
-                at = np.r_[0, np.cumsum(tokens - 1)]
-                pieces = pack_shard(ShardIndex(buf, off), tokens, window)
-                doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces))
-                blobs = [np.r_[ids[at[d] + s : min(at[d] + s + n, at[d + 1])], np.full(int(s + n == tokens[d]), end_id, np.uint32)].astype("<u4").tobytes() for d, s, n, _, _ in pieces]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": rows.column("doc_id").take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length), "ids": pa.array(blobs, pa.binary()),
-                    "doc_tokens": pa.array(tokens[doc]), "sequence_id": pa.array(base + sequence), "offset": pa.array(offset)})
-                base += int(sequence.max()) + 1
+        for rows in tx.gathered(batches, "text", SHARD_BYTES):
+            buf, off = tx.flat(rows.column("text"))
+            parts = [encoder.encode(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in tx.chunks(off, 1 << 19)]
+            tokens = np.concatenate([np.diff(o) for _, o in parts]) + 1
+            ids = np.concatenate([i for i, _ in parts])
+            at = np.r_[0, np.cumsum(tokens - 1)]
+            pieces = pack_shard(ShardIndex(buf, off, shared.value, query_terms), tokens, window)
+            doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces))
+            blobs = [np.r_[ids[at[d] + s : min(at[d] + s + n, at[d + 1])], np.full(int(s + n == tokens[d]), end_id, np.uint32)].astype("<u4").tobytes() for d, s, n, _, _ in pieces]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": rows.column("doc_id").combine_chunks().take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length), "ids": pa.array(blobs, pa.binary()),
+                "doc_tokens": pa.array(tokens[doc]), "sequence_id": pa.array(base + sequence), "offset": pa.array(offset)})
+            base += int(sequence.max()) + 1
 
     return dealt.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

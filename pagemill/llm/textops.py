@@ -205,6 +205,28 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
         yield rows, *flat(rows.column(column))
 
 
+def gathered(batches, column: str, limit: int):
+    """Tables of about `limit` bytes of that column, whatever the batches' size; a longer row stands alone."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+        lo = 0
+        while lo < batch.num_rows:
+            hi = min(batch.num_rows, int(np.searchsorted(total, total[lo] + limit - size, "right")) - 1)
+            if hi <= lo and not held:
+                hi = lo + 1
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+                size += int(total[hi] - total[lo])
+            if hi < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            lo = max(lo, hi)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def covered(starts: np.ndarray, size, n: int) -> np.ndarray:
     """Positions of 0..n-1 covered by spans [start, start + size)."""
     change = np.bincount(starts, minlength=n + 1)
