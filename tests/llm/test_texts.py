@@ -467,3 +467,161 @@ def test_stages_keep_columns_whose_names_operators_use(spark):
         assert kept.dtypes == docs.dtypes
         assert {tuple(r)[3:] for r in kept.collect()} == {(-1.5, "three", "none", 7, "mine", "c0", True)}
     assert {r.doc_id: r.text for r in kept.collect()}[1] == "one two three four five six seven eight nine kept one"
+
+
+def test_ftrl_equals_a_plain_version():
+    """The update rule of follow-the-regularised-leader, one coordinate and one example at a time."""
+    from pagemill.llm.quality import BITS, ftrl
+
+    r = np.random.default_rng(1)
+    examples = [(np.sort(r.choice(40, 5, replace=False)), r.random(5), int(r.random() < 0.5)) for _ in range(60)]
+    z, n, w = {}, {}, {}
+    alpha, beta, l1, l2, bias = 0.6, 1.0, 0.02, 0.2, 1 << BITS
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - (1 if zi > 0 else -1) * l1) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    for epoch in range(4):
+        for k in np.random.default_rng(epoch).permutation(len(examples)):
+            at, x, y = examples[k]
+            terms = [*zip(at.tolist(), x.tolist()), (bias, 1.0)]
+            w = {i: weight(i) for i, _ in terms}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in terms)))
+            for i, v in terms:
+                g = (p - y) * v
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = ftrl(examples)
+    assert np.allclose([got[i] for i in [*range(40), bias]], [weight(i) for i in [*range(40), bias]])
+
+
+def test_quality_scores_equal_dot_products_by_hand(spark):
+    from pagemill.llm import quality as q
+
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["good", "words", "BAD!!", "x1", "é"]) for _ in range(r.randint(0, 30)))) for i in range(40)] + [(41, None), (42, ""), (1, "again"), (None, "good words"), (43, "word " * 60000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", q.F.lit("own")).withColumn("label", q.F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 44)] + [(2, None), (4, 1), (4, 0)], "doc_id long, quality int").withColumn("text", q.F.lit("clash"))
+    weights = q.train(docs, labels)
+    assert np.array_equal(weights, q.train(docs.repartition(5), labels)) and np.count_nonzero(weights) > 3
+    assert not np.array_equal(weights, q.train(docs, labels, rows=10)) and np.array_equal(q.train(docs, labels, text_bytes=0), np.zeros_like(weights))
+    want = []
+    for i, t in rows:
+        row, feat, value = q.features(*tx.flat(pa.array([t], pa.string())))
+        total = float(weights[-1]) + sum(float(weights[f]) * v for f, v in zip(feat.tolist(), value.tolist()))
+        want.append((i, round(float(1 / (1 + np.exp(-total))), 9)))
+    assert sorted(((x.doc_id, round(x.score, 9)) for x in q.score(docs, weights).collect()), key=str) == sorted(want, key=str)
+
+
+def test_quality_features_count_words_and_shapes():
+    """Square roots of counts over their length, for words and for shapes, told from the features of single words."""
+    from pagemill.llm.quality import BITS, features
+
+    one = lambda t: {f: v for _, f, v in zip(*features(*tx.flat(pa.array([t]))))}
+    word = {t: next(f for f in one(t) if f < 1 << (BITS - 1)) for t in ("aa", "bb", "C1")}
+    found = one("aa bb aa C1 aa")
+    pairs = {("aa", "bb"): 1, ("bb", "aa"): 1, ("aa", "C1"): 1, ("C1", "aa"): 1}
+    length = np.sqrt(3 + 1 + 1 + sum(pairs.values()))
+    assert np.isclose(found[word["aa"]], np.sqrt(3) / length) and np.isclose(found[word["bb"]], 1 / length) and np.isclose(found[word["C1"]], 1 / length)
+    assert np.isclose(sum(v * v for f, v in found.items() if f < 1 << (BITS - 1)), 1) and np.isclose(sum(v * v for f, v in found.items() if f >= 1 << (BITS - 1)), 1)
+
+
+def test_language_filters_equal_exact_sets(spark):
+    """Learnt n-grams against counting in dictionaries, predictions against exact sets of them."""
+    from pagemill.llm import langid
+
+    r = random.Random(3)
+    stems = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["sch", "ung", "ein", "ka"], "zz": ["eau", "oui", "ment", "É"]}
+    rows = []
+    for i in range(150):
+        lang = r.choice(list(stems))
+        rows.append((i, " ".join("".join(r.choice(stems[lang]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(0, 20))), lang, 0.5))
+    rows += [rows[3], (3, "other text ka", "yy", 0.5), (900, None, "xx", 0.5), (901, "ka lo", None, 0.5), (None, "lo", "xx", 0.5), (902, "schung " * 30000, "yy", 0.5), (903, "", "vv", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    model = langid.learn(docs, n_grams=60)
+    assert {k: v.tolist() for k, v in langid.learn(docs.repartition(7), n_grams=60).items()} == {k: v.tolist() for k, v in model.items()}
+
+    def parts(text):
+        out = []
+        folded = bytes(langid.FOLD[list(text.lower().encode())]) if text else b""
+        for size in langid.SIZES:
+            for s in range(len(folded) - size + 1):
+                if folded[s : s + size].strip():
+                    out.append((size, int.from_bytes(folded[s : s + size], "big") | size << (8 * size)))
+        return out
+
+    counts = {}
+    for i, t, lang, _ in rows:
+        if None not in (i, t, lang):
+            for size, code in parts(t):
+                own = counts.setdefault((lang, size), {})
+                own[code] = own.get(code, 0) + 1
+    shares = {}
+    for (lang, size), own in counts.items():
+        for code in sorted(own, key=lambda c: (-own[c], c))[:60]:
+            shares[lang, code] = own[code] / sum(own.values())
+    top = {}
+    for (_, code), x in shares.items():
+        top[code] = max(top.get(code, 0), x)
+    want = {lang: {c for (own, c), x in shares.items() if own == lang and x >= 0.5 * top[c]} for lang in stems}
+    assert {k: set(v.tolist()) for k, v in model.items()} == want
+    names, wrong = sorted(want), 0
+    for x in langid.predict(docs, model).collect():
+        if not re.search(r"[^\W\d_]", x.text or ""):
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        hits = [sum(code in want[name] for _, code in parts(x.text)) for name in names]
+        assert hits[names.index(x.lang_pred)] == max(hits) and abs(x.score - max(hits) / max(1, sum(hits))) < 0.02
+        wrong += x.lang is not None and x.lang_pred != x.lang
+    assert wrong < 5
+
+
+def test_neighbours_are_ranked_by_bm25(spark):
+    """Statistics, weights, queries and ranks against dictionaries."""
+    texts = [r[1] or "" for r in corpus(15, 40, 60) if r[0] != 207]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3)
+    found = packing.corpus_statistics(docs)
+    bags = [split(t.lower()) for t in texts]
+    df = {}
+    for bag in bags:
+        for w in set(bag):
+            df[w] = df.get(w, 0) + 1
+    hashed = lambda w: tx.Words(*tx.flat(pa.array([w]))).hashes()
+    assert found.docs == len(texts) + 1 and np.isclose(found.mean, sum(map(len, bags)) / (len(texts) + 1)) and found.bytes == sum(len(t.encode()) for t in texts)
+    assert all(found.frequency(hashed(w))[0] >= n for w, n in df.items()) and np.mean([found.frequency(hashed(w))[0] == n for w, n in df.items()]) > 0.98
+    index = packing.ShardIndex(*tx.flat(pa.array(texts)), found, query_terms=5)
+    unused = np.random.default_rng(1).random(len(texts)) < 0.7
+    weight = {(d, w): float(found.idf(hashed(w))[0]) * bag.count(w) * 2.2 / (bag.count(w) + 1.2 * (0.25 + 0.75 * len(bag) / found.mean)) for d, bag in enumerate(bags) for w in set(bag)}
+    for seed, bag in enumerate(bags):
+        query = sorted((w for w in set(bag) if df[w] > 1), key=lambda w: (-weight[seed, w], int(hashed(w)[0])))[:5]
+        total = {d: sum(weight.get((d, w), 0) for w in query) for d in range(len(texts)) if unused[d]}
+        want = sorted((d for d, x in total.items() if x), key=lambda d: (-round(total[d], 9), d))
+        got = index.neighbours(seed, unused).tolist()
+        assert sorted(got) == sorted(want) and np.allclose([total[d] for d in got], [total[d] for d in want])
+
+
+def test_similar_documents_meet_in_shards(spark, monkeypatch):
+    """Of pairs that share half of their words, most have a key in common, wherever they lie; hot keys are cut."""
+    r = random.Random(5)
+    texts = []
+    for i in range(300):
+        own = [f"v{r.randint(0, 20000)}" for _ in range(40)]
+        texts += [" ".join(own + ["the", "of"]), " ".join(own[:26] + [f"u{r.randint(0, 20000)}" for _ in range(14)] + ["the"])]
+    found = packing.corpus_statistics(spark.createDataFrame([(t,) for t in texts], "text string"))
+    one, two, heaps = packing.content_keys(found, *tx.flat(pa.array(texts)), 8)
+    assert np.mean(one[::2] == one[1::2]) > 0.5 and np.mean((one[::2] == one[1::2]) | (two[::2] == two[1::2])) > 0.75
+    assert len(np.unique(one)) > 150
+    same = packing.corpus_statistics(spark.createDataFrame([("all alike",)] * 50, "text string"))
+    assert (packing.content_keys(same, *tx.flat(pa.array(["all alike", "", "new"])), 8)[2] >= 32).all()
+
+
+def test_gathered_tables_do_not_depend_on_batches():
+    texts = ["a" * n for n in (3, 0, 9, 2, 2, 2, 30, 1, 1)] + [None]
+    cuts = []
+    for rows in (1, 3, 10):
+        batches = pa.Table.from_pydict({"t": pa.array(texts, pa.string())}).to_batches(max_chunksize=rows)
+        cuts.append([t.column("t").to_pylist() for t in tx.gathered(batches, "t", 10)])
+        assert sum(cuts[-1], []) == texts
+    assert cuts[0] == cuts[1] == cuts[2] and all(sum(len(x or "") for x in c) <= 10 or len(c) == 1 for c in cuts[0])
