@@ -38,22 +38,23 @@ def main(argv: list[str] | None = None) -> int:
     builder = api.Pdf(SparkSession.builder.getOrCreate()).with_pages(args.pages).with_password(args.password).with_cleanup(None if args.cleanup == "none" else args.cleanup)
     builder = builder.with_frontmatter(args.frontmatter)._render(page_markers=args.page_markers).with_ocr_suppression(not args.keep_ocr_text)
     found = builder.parse(args.input).persist()
-    failed = [(r.doc_id, r.error_class, r.error_message) for r in found.errors().limit(20).collect()]
-    for name, kind, message in failed:
-        print(f"{name}: {kind}: {message}", file=sys.stderr)
+    failed = False
+    for r in found.errors().toLocalIterator():  # a partition at a time, however many there are
+        failed = True
+        print(f"{r.doc_id}: {r.error_class}: {r.error_message}", file=sys.stderr)
     command = {"md": "markdown"}.get(args.command, args.command)
     if command in ("convert", "extract"):
         write = sinks.write_files if command == "convert" else sinks.write_tables
         write(found.rows, args.output or "out", args.formats.split(","), found.options).show(truncate=False)
     elif command == "info":
-        for row in found.info().limit(100).collect():
+        for row in found.info().toLocalIterator():
             print(api.dumps(row.asDict(True)))
     else:
         made = {"markdown": found.to_markdown, "text": found.to_text, "json": lambda: found.to_json(args.pretty)}[command]()
         if args.output:
             made.write.mode("overwrite").parquet(args.output)
         else:
-            for row in made.limit(100).collect():
+            for row in made.toLocalIterator():
                 print(row[1])
     if found.document().limit(1).count() == 0:
         return 1

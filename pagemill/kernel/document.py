@@ -20,6 +20,7 @@ class Document:
         if not re.match(rb"%PDF-\d\.\d", data[:8]):
             raise PdfError("NotPdf", "no %PDF header")
         self.data, self.cache, self.busy = data, {}, set()
+        self.opened: dict[int, tuple[bytes, dict[int, int]]] = {}
         self.version = re.match(rb"%PDF-(\S*)", data)[1].decode("latin-1")
         self.entries: dict[int, tuple] = {}
         self.trailer: dict = {}
@@ -49,7 +50,7 @@ class Document:
                     raise PdfError("BadXref", "startxref points outside the file")
                 continue
             seen.add(at)
-            trailer = self._table(at) if self.data[skip(self.data, at) :].startswith(b"xref") else self._stream(at)
+            trailer = self._table(at) if self.data.startswith(b"xref", skip(self.data, at)) else self._stream(at)
             for key, value in trailer.items():
                 self.trailer.setdefault(key, value)
             for key in ("Prev", "XRefStm"):  # XRefStm is older than its own table, newer than Prev
@@ -111,21 +112,31 @@ class Document:
                 elif self.encrypted and self.__dict__.get("crypt") and number != self.plain:
                     value = self._open(value, own, generation)
             else:
-                holder = self.load(entry[0])
-                body = self.body(holder) if isinstance(holder, Stream) else b""
-                at, first = 0, holder.info.get("First", 0) if isinstance(holder, Stream) else 0
-                for _ in range(self.resolve(holder.info.get("N", 0)) if isinstance(holder, Stream) else 0):
-                    own, at = read(body, at, refs=False)
-                    offset, at = read(body, at, refs=False)
-                    if own == number and isinstance(offset, int):
-                        value, _ = read(body, first + offset)
-                        value = None if isinstance(value, Keyword) else value
+                body, places = self._unpack(entry[0])
+                if number in places:
+                    value, _ = read(body, places[number])
+                    value = None if isinstance(value, Keyword) else value
         except (PdfError, IndexError, ValueError, TypeError, KeyError, RecursionError):
             value = None
         self.busy.discard(number)
         self.cache[number] = value
         return value
 
+    def _unpack(self, number: int) -> tuple[bytes, dict[int, int]]:
+        """An object stream's decoded body and where its objects begin; read once, however many objects it holds."""
+        if number not in self.opened:
+            self.opened[number] = b"", {}
+            holder = self.load(number)
+            if isinstance(holder, Stream):
+                body, at, places = self.body(holder), 0, {}
+                for _ in range(self.resolve(holder.info.get("N", 0))):
+                    own, at = read(body, at, refs=False)
+                    offset, at = read(body, at, refs=False)
+                    if isinstance(own, int) and isinstance(offset, int):
+                        places[own] = holder.info.get("First", 0) + offset
+                self.opened[number] = body, places
+        return self.opened[number]
+
     def _open(self, value, number, generation):
         if isinstance(value, bytes):
             return self.crypt.decrypt(value, number, generation)

@@ -87,21 +87,23 @@ def _page(doc: Document, page: dict, number: int, memory: dict, options) -> dict
     width, height = doc.page_size(page)
     found = PageText()
     if options.mode != "structure_only":
-        found = interpret(doc.content(page), page_fonts(doc, page, memory), (width, height))
+        found = interpret(doc.content(page), page_fonts(doc, page, memory), (width, height), options.spec_matrices)
     scanned = found.covered and found.shown > 0 and found.unseen / found.shown >= 0.9
     dropped = options.suppress_low_confidence_ocr and scanned and is_incoherent(" ".join(s["text"] for s in found.spans))
     spans = [] if dropped else found.spans
     body = drop_margins(spans, height)
-    tables, rest = detect_tables(body)
-    lines = page_lines(rest, options.estimate_widths)
+    tables, rest = detect_tables(body) if options.layout else ([], [])
+    lines = page_lines(rest, options.estimate_widths) if options.layout else []
     out = {
         "width": width, "height": height, "text_op_count": found.text_ops, "image_op_count": found.image_ops, "page_image": found.covered, "shown_chars": found.shown, "unseen_chars": found.unseen,
         "ocr_text_suppressed": dropped, "spans": spans, "lines": lines, "sizes": [s["font_size"] for s in rest], "tables": tables, "images": [],
-        "fallback": "\n".join(x["text"] for x in page_lines(spans, options.estimate_widths)) if spans and not lines and not tables else None,
+        "fallback": "\n".join(x["text"] for x in page_lines(spans, options.estimate_widths)) if options.layout and spans and not lines and not tables else None,
     }
     if options.extract_resources and options.mode != "structure_only":
         for name, info, data, mime in doc.images(page):
             size = [doc.resolve(info.get(k)) for k in ("Width", "Height", "BitsPerComponent")]
+            if all(isinstance(v, int) for v in size[:2]) and min(size[:2]) < options.min_image_size:
+                continue
             space = doc.resolve(info.get("ColorSpace"))
             space = space[0] if isinstance(space, list) and space else space
             out["images"].append({"name": name, "data": data, "mime": mime, "width": _int(size[0]), "height": _int(size[1]), "bits": _int(size[2]), "color_space": str(space) if isinstance(space, str) else None})

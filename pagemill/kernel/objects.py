@@ -158,13 +158,14 @@ def read_indirect(data: bytes, at: int, length_of=None):
         start, size = m.end(), value.get("Length")
         if isinstance(size, Ref) and length_of:
             size = length_of(size)
-        if not (isinstance(size, int) and size >= 0 and data[skip(data, start + size) :].startswith(b"endstream") if isinstance(size, int) and start + size <= len(data) else False):
+        fits = isinstance(size, int) and 0 <= size <= len(data) - start
+        if not (fits and data.startswith(b"endstream", skip(data, start + size))):
             end = data.find(b"endstream", start)
             if end < 0:
                 raise PdfError("BadStream", "endstream is missing")
             size = end - start
             for tail in (b"\r\n", b"\n", b"\r"):
-                if data[start : start + size].endswith(tail):
+                if data.endswith(tail, start, start + size):
                     size -= len(tail)
                     break
         value = Stream(value, data[start : start + size])

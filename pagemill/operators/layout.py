@@ -14,6 +14,7 @@ PAGE_KEYS_RANK = ("doc_id", "page", "rank")
 LINE_SCHEMA = "doc_id string, page int, line_ord int, text string, x float, y float, font_size float, bold boolean"
 SAME_ROW = 6.0
 LOW_CONFIDENCE = 0.4
+TABLE_ROWS = 1 << 20  # order numbers of a page's k-th table begin at so many times k
 
 
 def _by_page(spans: DataFrame, schema: str, run) -> DataFrame:
@@ -157,7 +158,7 @@ def _elements(content: Column, page: Column) -> Column:
 
     def flat_rows(t, k):
         step = (t["top"] - t["bottom"]) / F.greatest(F.size(t["cells"]) - 1, F.lit(1))
-        row = lambda cells, r: _element(1, k * 10000 + r, none, _block(1, k * 10000 + r, r * step - t["top"], "paragraph", F.array_join(F.filter(cells, lambda c: c != ""), "  "), none))
+        row = lambda cells, r: _element(1, k * TABLE_ROWS + r, none, _block(1, k * TABLE_ROWS + r, r * step - t["top"], "paragraph", F.array_join(F.filter(cells, lambda c: c != ""), "  "), none))
         return F.filter(F.transform(t["cells"], row), lambda e: F.trim(e["block"]["text"]) != "")
 
     one_table = lambda t, k: F.when(t["confidence"] >= LOW_CONFIDENCE, F.array(_element(0, k, none, _block(0, k, -t["top"], "table", none, t["cells"])))).otherwise(flat_rows(t, k))
@@ -206,14 +207,14 @@ def merge_rows(blocks: Column) -> Column:
     return F.aggregate(blocks, F.array().cast(f"array<{BLOCK}>"), lambda acc, b: F.when(F.size(acc) == 0, F.array(b)).otherwise(step(acc, b)))
 
 
-def shown_images(images: Column, page: Column, least: int = 64) -> Column:
+def shown_images(images: Column, page: Column, least: int = 0) -> Column:
     """Of an array of images those that a viewer can show, with their resource ids; those known to be small are left out."""
     named = lambda i: i.withField("extension", extension_of(i["mime"])).withField("resource_id", F.concat(F.lit("page"), page.cast("string"), F.lit("_"), i["name"], F.lit("."), extension_of(i["mime"])))
     large = lambda i: i["width"].isNull() | i["height"].isNull() | (F.least(i["width"], i["height"]) >= least)
     return F.filter(F.transform(images, named), lambda i: i["mime"].startswith("image/") & ~i["extension"].isin("raw", "bin") & large(i))
 
 
-def page_images(parsed: DataFrame, least: int = 64) -> DataFrame:
+def page_images(parsed: DataFrame, least: int = 0) -> DataFrame:
     """A row for each image of shown_images."""
     rows = parsed.where("kind = 'page'").select("doc_id", "page", F.posexplode(shown_images(F.col("content.images"), F.col("page"), least)).alias("ord", "i"))
     return rows.select("doc_id", "page", "ord", "i.*")

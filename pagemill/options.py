@@ -51,7 +51,11 @@ class PageSelection:
 
 @dataclass(frozen=True)
 class ParseOptions:
-    """What to read from a file. password is tried after the empty one; memory limits are the cluster's."""
+    """What to read from a file. password is tried after the empty one; memory limits are the cluster's.
+
+    Images known to be narrower or lower than min_image_size are left out. Without `layout` no lines and tables are
+    built, for those who only want spans, counts or images. With spec_matrices `cm` is applied as the format has it.
+    """
 
     lenient: bool = True
     pages: PageSelection = field(default_factory=PageSelection)
@@ -61,6 +65,8 @@ class ParseOptions:
     suppress_low_confidence_ocr: bool = True
     password: str = ""
     estimate_widths: bool = False  # a span's width is zero unless estimated
+    layout: bool = True
+    spec_matrices: bool = False
 
     def but(self, **changes) -> ParseOptions:
         return replace(self, **changes)

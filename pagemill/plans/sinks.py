@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,7 +31,7 @@ def rendered(parsed: DataFrame, blocks: DataFrame, formats=tuple(FORMATS), optio
     return out
 
 
-def unique_images(parsed: DataFrame, least: int = 64) -> DataFrame:
+def unique_images(parsed: DataFrame, least: int = 0) -> DataFrame:
     """Images with first_resource_id, the id under which equal content of the document is kept."""
     return dedup_by_content(page_images(parsed, least), "data", ["page", "ord"], ["doc_id"], "resource_id")
 
@@ -56,6 +57,12 @@ def summary(blocks: DataFrame, images: DataFrame) -> DataFrame:
     return extraction_stats(blocks).join(kept, "doc_id", "left").na.fill(0, ["images_written"]).select("doc_id", "word_count", F.col("images_written").alias("image_count"))
 
 
+def folder_name(doc_id: str) -> str:
+    """A document's folder: its id, and if a character had to be replaced or left out, a hash that keeps ids apart."""
+    name = "".join(c if c.isalnum() or c in "-_." else "_" for c in doc_id)[-150:]
+    return name if name == doc_id else f"{name}-{sha256(doc_id.encode()).hexdigest()[:16]}"
+
+
 def write_files(parsed: DataFrame, folder: str, formats=tuple(FORMATS), options: RenderOptions | None = None) -> DataFrame:
     """A folder a document with its renderings and an images folder, written by the tasks; folder is a path that driver
     and executors share. Each file is written whole under another name and renamed, so a task that runs again is harmless."""
@@ -66,8 +73,7 @@ def write_files(parsed: DataFrame, folder: str, formats=tuple(FORMATS), options:
 
     def put(rows):
         for r in rows:
-            name = "".join(c if c.isalnum() or c in "-_." else "_" for c in r.doc_id)[-150:]
-            path = os.path.join(folder, name, r.file)
+            path = os.path.join(folder, folder_name(r.doc_id), r.file)
             os.makedirs(os.path.dirname(path), exist_ok=True)
             with open(f"{path}.{os.getpid()}.part", "wb") as f:
                 f.write(r.data)

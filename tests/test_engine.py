@@ -67,7 +67,7 @@ def test_renderings(parsed):
 
 def test_quality(parsed):
     found = {r.doc_id: r for r in quality.document_quality(parsed, layout.page_blocks(parsed)).collect()}
-    assert found["scan.pdf"].is_scan_pdf and "scanned image" in found["scan.pdf"].warning and found["good.pdf"].warning is None and found["good.pdf"].is_good
+    assert found["scan.pdf"].is_scan_pdf and "scanned pages" in found["scan.pdf"].warning and found["good.pdf"].warning is None and found["good.pdf"].is_good
     stats = quality.extraction_stats(layout.page_blocks(parsed)).where("doc_id = 'good.pdf'").first()
     assert (stats.heading_count, stats.paragraph_count, stats.table_count, stats.image_count) == (1, 2, 1, 2)
 
