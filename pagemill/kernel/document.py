@@ -31,6 +31,7 @@ class Document:
             ids = self.resolve(self.trailer.get("ID")) or [b""]
             info = {k: self.resolve(v) for k, v in (self.resolve(self.trailer["Encrypt"]) or {}).items()}
             self.cache.clear()
+            self.opened.clear()
             secret = self.trailer["Encrypt"].number if isinstance(self.trailer["Encrypt"], Ref) else None
             self.crypt, self.plain = Decryptor(info, ids[0] if isinstance(ids[0], bytes) else b"", [b"", password.encode("latin-1", "replace")]), secret
 

@@ -171,6 +171,18 @@ def collect_content(events: DataFrame) -> DataFrame:
     return _joined(own).withColumn("body", cleanup.trim(F.col("body")))
 
 
+def has_content(events: DataFrame) -> Column:
+    return events["content"].isNotNull()
+
+
+def is_document_boundary(events: DataFrame) -> Column:
+    return events["event"].isin("document_start", "document_end")
+
+
+def is_page_boundary(events: DataFrame) -> Column:
+    return events["event"].isin("page_start", "page_end")
+
+
 # ---- visitors: each looks at a block row and gives (action, replacement); the first that does not continue decides
 
 Visitor = Callable[[], tuple[Column, Column]]

@@ -182,7 +182,8 @@ def _assemble(objects, streams, trailer, last, o: WriterOptions) -> bytes:
         secret = last
         objects[secret] = entry
         trailer += f" /Encrypt {secret} 0 R /ID [<{file_id.hex()}> <{file_id.hex()}>]".encode()
-        objects = {n: body if n == secret else _sealed(body, lambda raw, n=n: seal(n, raw)) for n, body in objects.items()}
+        if not o.xref_stream:  # an object stream is encrypted as a whole
+            objects = {n: body if n == secret else _sealed(body, lambda raw, n=n: seal(n, raw)) for n, body in objects.items()}
 
     def put(number: int, body: bytes) -> None:
         offsets[number] = len(out)
@@ -208,6 +209,9 @@ def _assemble(objects, streams, trailer, last, o: WriterOptions) -> bytes:
         out.extend(b"trailer\n<< /Size %d %s >>\nstartxref\n%d\n%%%%EOF\n" % (last + 1, trailer, at))
         return bytes(out)
     holder, table = last + 1, last + 2
+    for number in [n for n, body in objects.items() if b"/Filter /Standard" in body or b"\nstream\n" in body]:  # these cannot be packed
+        body = objects.pop(number)
+        put(number, body if not seal or b"/Filter /Standard" in body else _sealed(body, lambda raw: seal(number, raw)))  # noqa: B023
     heads, bodies, at = [], [], 0
     for k, (number, body) in enumerate(sorted(objects.items())):
         packed[number] = k
@@ -216,6 +220,8 @@ def _assemble(objects, streams, trailer, last, o: WriterOptions) -> bytes:
         at += len(body) + 1
     head = b" ".join(heads) + b" "
     data = zlib.compress(head + b"".join(bodies))
+    if seal:
+        data = seal(holder, data)
     put(holder, b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(heads), len(head), len(data), data))
     at = len(out)
     rows = [(0, 0, 0)] + [(2, holder, packed[n]) if n in packed else (1, offsets[n], 0) for n in range(1, table)] + [(1, at, 0)]

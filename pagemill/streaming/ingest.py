@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..options import ParseOptions
 from ..sources.pdf import parse_files
@@ -27,6 +27,13 @@ def write_stream(parsed: DataFrame, path: str, checkpoint: str, **trigger):
     return parsed.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def until(events: DataFrame, stop: Column) -> DataFrame:
+    """The events of each document up to the first for which `stop` holds: what a reader that stops there sees."""
+    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    over = F.coalesce(F.max(F.coalesce(stop, F.lit(False))).over(before), F.lit(False))
+    return events.withColumn("over", over).where("not over").drop("over")
+
+
 def page_events(parsed: DataFrame, every: int = PROGRESS_EVERY) -> DataFrame:
     """(doc_id, seq, event, page, done, total): document_start, page_parsed or page_failed in page order, progress every
     so many pages and at the last one, document_end."""
