@@ -28,13 +28,13 @@ class Corpus:
         for cell, n in found.items():
             if cell >= 0:
                 self.df[cell] = n
+        self.weight = np.log1p((self.docs - self.df + 0.5) / (self.df + 0.5))
 
     def frequency(self, hashes: np.ndarray) -> np.ndarray:
         return self.df[_cell(hashes)]
 
     def idf(self, hashes: np.ndarray) -> np.ndarray:
-        df = self.frequency(hashes)
-        return np.log1p((self.docs - df + 0.5) / (df + 0.5))
+        return self.weight[_cell(hashes)]
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
@@ -45,13 +45,18 @@ def corpus_statistics(docs: DataFrame) -> Corpus:
     """Corpus of the column text; partial counts are merged by cell, and at most 2**DF_BITS + 3 rows reach the driver."""
 
     def count(batches):
-        for table in tx.gathered(batches, "text", SHARD_BYTES):
-            buf, off = tx.flat(table.column("text"))
-            words = tx.Words(tx.LOWER[buf], off)
-            pair = np.unique((words.docs() << DF_BITS) | _cell(words.hashes()))
-            times = np.bincount(pair & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
-            cells = np.flatnonzero(times)
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(np.r_[cells, N_DOCS, N_WORDS, N_BYTES]), "n": pa.array(np.r_[times[cells], len(off) - 1, len(words.starts), len(buf)])})
+        times, totals = np.zeros(1 << DF_BITS, np.int64), np.zeros(3, np.int64)
+        for batch in batches:
+            for _, buf, off in tx.slices(batch, "text", 1 << 20):
+                words = tx.Words(tx.LOWER[buf], off)
+                pair = (words.docs() << DF_BITS) | _cell(words.hashes())
+                pair.sort()
+                first = np.ones(len(pair), bool)
+                first[1:] = pair[1:] != pair[:-1]
+                times += np.bincount(pair[first] & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
+                totals += [len(off) - 1, len(words.starts), len(buf)]
+        cells = np.flatnonzero(times)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.r_[cells, N_DOCS, N_WORDS, N_BYTES]), "n": pa.array(np.r_[times[cells], totals])})
 
     found = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     return Corpus({r["cell"]: r["n"] for r in found.collect()})
@@ -69,9 +74,9 @@ def content_keys(corpus: Corpus, buf: np.ndarray, off: np.ndarray, parts: int) -
     weight = np.where(corpus.frequency(h) > 1, corpus.idf(h), 0.0)
     keys, heaps = [], np.ones(len(off) - 1, np.int64)
     for seed in (11, 12):
-        draw = (tx.mix(h + np.uint64(seed)) >> np.uint64(11)).astype(float) / 2**53
+        draw = ((tx.mix(h + np.uint64(seed)) >> np.uint64(11)).astype(float) + 0.5) / 2**53
         with np.errstate(divide="ignore"):
-            rank = np.where(weight > 0, -np.log(np.maximum(draw, 1e-300)) / weight, np.inf)
+            rank = -np.log(draw) / weight  # infinite where the weight is 0
         low = np.full(len(off) - 1, np.inf)
         filled = np.flatnonzero(words.counts)
         if len(filled):
