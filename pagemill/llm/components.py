@@ -10,13 +10,13 @@ from .session import shared_checkpoint
 HOT_ROWS, HOT_KEYS = 1024, 10_000
 
 
-def join_hot(rows: DataFrame, once: DataFrame, by: list[str], times: str, n_rows: int) -> DataFrame:
+def join_hot(rows: DataFrame, once: DataFrame, by: list[str], times: str, n_rows: int, most: int = HOT_KEYS) -> DataFrame:
     """rows joined with `once` on `by`, where `once` has each key once and says in `times` how many rows have it.
 
-    Rows of a key with n_rows / HOT_KEYS rows or more stay where they are and get their match by broadcast: there are
-    HOT_KEYS such keys at most, whatever the input. Only the others are dealt out by key, so none of them fills a task.
+    Rows of a key with n_rows / most rows or more stay where they are and get their match by broadcast: there are `most`
+    such keys at most, whatever the input. Only the others are dealt out by key, so none of them fills a task.
     """
-    limit = max(HOT_ROWS, n_rows // HOT_KEYS)
+    limit = max(HOT_ROWS, n_rows // most)
     hot = F.broadcast(once.where(F.col(times) >= limit).drop(times))
     cold = rows.join(hot.select(by), by, "left_anti").join(once.where(F.col(times) < limit).drop(times), by)
     return rows.join(hot, by).unionByName(cold)

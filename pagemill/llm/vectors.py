@@ -7,13 +7,19 @@ import io
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .textops import NULL_ID
 
-def one_row_an_id(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, embedding as array<double>): rows that share an id (null is one id) count once, by their least vector."""
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+
+def vector_rows(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(vec_id, embedding as array<double>) of all rows; a null id becomes the smallest one."""
+    return rows.select(F.coalesce(F.col(vec_id).cast("long"), F.lit(NULL_ID)).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+
+
+def is_whole(embedding: str) -> Column:
+    """Neither null nor with null or non-finite components."""
+    return F.col(embedding).isNotNull() & (F.size(F.filter(embedding, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))) == 0)
 
 
 def matrix(column, dim: int) -> tuple[np.ndarray, np.ndarray]:

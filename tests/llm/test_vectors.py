@@ -52,7 +52,32 @@ def test_embedding_groups_edges(spark):
     assert embedding_groups(empty).columns == ["vec_id", "n_links", "component_id", "kept"] and embedding_groups(empty).count() == 0
     rows = [(None, [1.0, 0.0], 0, 1, "x"), (4, [1.0, 0.0], 0, 1, "x"), (4, [1.0, 0.0], 0, 1, "x"), (5, [2.0], 0, 1, "x")]
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_groups(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
-    assert got == [(4, 2, None, False), (5, 2, None, False), (None, 2, None, True)]
+    assert got == [(4, 3, None, False), (4, 3, None, False), (5, 3, None, False), (None, 3, None, True)]
+    rows = [(3, [1.0, 0.0], 0, 1, "x"), (3, [0.0, 1.0], 0, 1, "x"), (8, [0.0, 2.0], 0, 1, "x"), (None, None, 0, 1, "x"), (None, [-1.0, 0.0], 0, 1, "x"), (9, [-1.0, 0.0], 0, 1, "x")]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_groups(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == [(3, 0, 3, True), (3, 1, 3, True), (8, 1, 3, False), (9, 1, None, False), (None, 0, None, True), (None, 1, None, True)]
+
+
+def test_exact_vectors_decide_what_the_bounds_leave_open(spark, monkeypatch):
+    """Pairs a hair's breadth on both sides of the threshold, and copies that are joined by broadcast."""
+    from pagemill.llm import components
+
+    monkeypatch.setattr(embedding_dedup, "BAND", 40)
+    monkeypatch.setattr(components, "HOT_ROWS", 5)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        u, v = rng.normal(size=(2, 16))
+        u /= np.linalg.norm(u)
+        v -= v @ u * u
+        v /= np.linalg.norm(v)
+        c = 0.9 + (1e-6 if i % 2 else -1e-6)
+        rows += [(2 * i, u.tolist(), 0, 1, "x"), (2 * i + 1, (c * u + np.sqrt(1 - c * c) * v).tolist(), 0, 1, "x")]
+    rows += [(200 + k, rows[0][1], 0, 1, "x") for k in range(20)]
+    schema = SCHEMA.replace("float", "double")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_groups(spark.createDataFrame(rows, schema), 0.9).collect()}
+    want = brute_groups(rows, 0.9)
+    assert got == want and sum(want[2 * i + 1][1] == 2 * i for i in range(60)) >= 30
 
 
 def test_quantisation_bound_holds():
@@ -84,4 +109,21 @@ def test_top_inner_small_tables(spark):
     assert top_inner(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(0, [1.0, 2.0], 0, 1, "x"), (0, [1.0, 2.0], 0, 1, "x"), (None, [1.0], 0, 1, "x"), (7, [1.0, 2.0], 0, 1, "x")]
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in top_inner(spark.createDataFrame(rows, SCHEMA)).orderBy("rank").collect()]
-    assert got == [(0, 1, 7, 65536 * 5), (0, 2, None, 65536)]
+    assert sorted(got, key=str) == sorted([(0, 1, 0, 65536 * 5), (0, 2, 7, 65536 * 5), (0, 3, None, 65536)] * 2, key=str)
+
+
+def test_bounds_of_annuli_hold():
+    """No score in an annulus is above its bound."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(8, 12)) * 4
+    x = np.floor(256 * (centres[rng.integers(0, 8, 800)] + rng.normal(size=(800, 12)) * 0.05)).astype(np.int64)
+    q, pivots = x[:40], x[100:164]
+    apart, own = topk.distances(x, pivots), topk.distances(q, pivots)
+    cell = apart.argmin(1)
+    for p in range(64):
+        inside = x[cell == p]
+        if len(inside):
+            d = apart[cell == p, p]
+            top = np.sqrt((inside.astype(float) ** 2).sum(1).max())
+            limit = topk.bounds(q, own, np.array([p]), np.array([d.min()]), np.array([d.max()]), np.array([top]))[:, 0]
+            assert (limit >= (q @ inside.T).max(1)).all()
