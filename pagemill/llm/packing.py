@@ -21,13 +21,12 @@ class Corpus:
     """Statistics over all documents, of fixed size: document frequencies in 2**DF_BITS cells by word hash (words that
     share a cell count together, so none counts too low), number of documents, mean words, bytes."""
 
-    def __init__(self, found: dict[int, int]):
-        self.docs, self.bytes = found.get(N_DOCS, 0), found.get(N_BYTES, 0)
-        self.mean = max(1e-9, found.get(N_WORDS, 0) / max(1, self.docs))
+    def __init__(self, cells: np.ndarray, counts: np.ndarray):
+        total = lambda kind: int(counts[cells == kind].sum())
+        self.docs, self.bytes = total(N_DOCS), total(N_BYTES)
+        self.mean = max(1e-9, total(N_WORDS) / max(1, self.docs))
         self.df = np.zeros(1 << DF_BITS, np.int64)
-        for cell, n in found.items():
-            if cell >= 0:
-                self.df[cell] = n
+        self.df[cells[cells >= 0]] = counts[cells >= 0]
         self.weight = np.log1p((self.docs - self.df + 0.5) / (self.df + 0.5))
 
     def frequency(self, hashes: np.ndarray) -> np.ndarray:
@@ -59,7 +58,8 @@ def corpus_statistics(docs: DataFrame) -> Corpus:
         yield pa.RecordBatch.from_pydict({"cell": pa.array(np.r_[cells, N_DOCS, N_WORDS, N_BYTES]), "n": pa.array(np.r_[times[cells], totals])})
 
     found = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    return Corpus({r["cell"]: r["n"] for r in found.collect()})
+    found = found.toArrow()
+    return Corpus(found.column("cell").to_numpy(), found.column("n").to_numpy())
 
 
 def content_keys(corpus: Corpus, buf: np.ndarray, off: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
