@@ -115,7 +115,7 @@ def embedding_groups(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec
     usable = is_whole("embedding") & F.exists("embedding", lambda v: v != 0)
     points = rows.where(usable).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
     points = shared_checkpoint(points.withColumn("point", F.monotonically_increasing_id()))
-    n, dim, n_rows = points.agg(F.count("*"), F.max(F.size("embedding")), F.sum("weight")).first()
+    n, dim, n_rows, most = points.agg(F.count("*"), F.max(F.size("embedding")), F.sum("weight"), F.max("weight")).first()
     bands = max(1, -(-n // BAND))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,8 +167,8 @@ def embedding_groups(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec
     groups = components(linked.select(F.col("point").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "point")
     points = points.join(counts, "point", "left").join(groups, "point", "left").withColumn("component", F.coalesce("component", "point"))
     smallest = points.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("times"))
-    points = join_hot(points, smallest, ["component"], "times", n).select("embedding", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    linkable = join_hot(rows.where(usable), points, ["embedding"], "weight", n_rows or 0, HOT_VECTORS).select("vec_id", "n_links", "component_id")
+    points = join_hot(points, smallest, ["component"], "times", n, n).select("embedding", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    linkable = join_hot(rows.where(usable), points, ["embedding"], "weight", n_rows or 0, most or 0, HOT_VECTORS).select("vec_id", "n_links", "component_id")
     out = linkable.unionByName(rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     null = F.lit(tx.NULL_ID)
     return out.select(F.nullif("vec_id", null).alias("vec_id"), "n_links", F.nullif("component_id", null).alias("component_id"), (F.col("vec_id") == F.col("component_id")).alias("kept"))

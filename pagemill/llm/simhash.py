@@ -182,20 +182,16 @@ def radius_links(codes: np.ndarray, radius: int, bucket: np.ndarray | None = Non
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     index = GrayIndex(codes, np.zeros(n, np.int64) if bucket is None else bucket)
-    f, left, right, label = index.codes, [], [], np.arange(n)
+    f, left, right, label, fresh = index.codes, [], [], np.arange(n), 0
 
     def link(p, q):
-        nonlocal label
+        nonlocal label, fresh
         apart = label[p] != label[q]
-        p, q = p[apart], q[apart]
-        if len(p):
-            members, at = np.unique(np.concatenate([label[p], label[q]]), return_inverse=True)
-            small = tx.forest(len(members), at[: len(p)], at[len(p) :])
-            moved = np.arange(n)
-            moved[members] = members[small]
-            label = moved[label]
-            left.append(p)
-            right.append(q)
+        left.append(p[apart])
+        right.append(q[apart])
+        fresh += len(left[-1])
+        if fresh > max(4096, n // 4):  # labels only spare work, so they may lag behind
+            label, fresh = tx.forest(n, np.concatenate(left), np.concatenate(right)), 0
 
     top = len(index.cuts) - 1
     own = np.arange(len(index.cuts[top]))
@@ -213,9 +209,13 @@ def radius_links(codes: np.ndarray, radius: int, bucket: np.ndarray | None = Non
             low, high = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
             joined = (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
             a, b = a[~joined], b[~joined]
-        step = max(1, PAIRS // (FAN * FAN if level else LEAF * LEAF))
-        for lo in range(0, len(a), step):
-            p, q = _products(*index.members(level, a[lo : lo + step]), *index.members(level, b[lo : lo + step]))
+        (from_a, to_a), (from_b, to_b) = index.members(level, a), index.members(level, b)
+        total = np.cumsum((to_a - from_a) * (to_b - from_b))
+        lo = 0
+        while lo < len(a):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
+            p, q = _products(from_a[lo:hi], to_a[lo:hi], from_b[lo:hi], to_b[lo:hi])
+            lo = hi
             if level:
                 todo.append((level - 1, p[p <= q], q[p <= q]))
             else:
@@ -396,15 +396,16 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: in
     node = F.min(F.coalesce("doc_id", null)).alias("node")
     if jaccard is None:
         nodes = shared_checkpoint(rows.groupBy(*prints).agg(node, F.count("*").alias("copies")))
-        n = nodes.count()
+        n, n_rows, most = nodes.agg(F.count("*"), F.sum("copies"), F.max("copies")).first()
         tables = exact_tables(radius, n) if lanes == 1 and radius <= 8 else sampled_tables(lanes, n, radius / (64 * lanes), miss)
         found = radius_components(nodes, radius, table_keys(tables), -(-n * len(tables) // PART_KEYS))
     else:  # equal sets have equal keys
         keyed = shared_checkpoint(rows.groupBy(*by).agg(node, F.count("*").alias("copies"), F.first("keys").alias("keys")))
-        nodes, n_keys = keyed.drop("keys"), keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
+        nodes = keyed.drop("keys")
+        n_keys, n_rows, most = (x or 0 for x in keyed.agg(F.sum(F.size("keys")), F.sum("copies"), F.max("copies")).first())
         found = radius_components(keyed, radius, F.col("keys"), -(-n_keys // PART_KEYS))
         found = confirmed(docs, nodes, found, shingle, radius, jaccard, text, doc_id)
     # two fingerprints may share a smallest id only if that id repeats; then they are one node
     nodes = nodes.join(found, "node", "left").select(*by, "copies", F.nullif(F.coalesce("component", "node"), null).alias("component_id"))
     text_of = F.concat(*[F.lower(F.lpad(F.hex(p), 16, "0")) for p in prints])
-    return join_hot(rows, nodes, by, "copies", rows.count()).select("doc_id", text_of.alias("fingerprint"), "component_id")
+    return join_hot(rows, nodes, by, "copies", n_rows or 0, most or 0).select("doc_id", text_of.alias("fingerprint"), "component_id")
