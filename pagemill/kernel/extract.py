@@ -102,11 +102,10 @@ def _page(doc: Document, page: dict, number: int, memory: dict, options) -> dict
     if options.extract_resources and options.mode != "structure_only":
         for name, info, data, mime in doc.images(page):
             size = [doc.resolve(info.get(k)) for k in ("Width", "Height", "BitsPerComponent")]
-            if all(isinstance(v, int) for v in size[:2]) and min(size[:2]) < options.min_image_size:
-                continue
+            large = not all(isinstance(v, int) for v in size[:2]) or min(size[:2]) >= options.min_image_size
             space = doc.resolve(info.get("ColorSpace"))
             space = space[0] if isinstance(space, list) and space else space
-            out["images"].append({"name": name, "data": data, "mime": mime, "width": _int(size[0]), "height": _int(size[1]), "bits": _int(size[2]), "color_space": str(space) if isinstance(space, str) else None})
+            out["images"].append({"name": name, "data": data, "mime": mime, "width": _int(size[0]), "height": _int(size[1]), "bits": _int(size[2]), "color_space": str(space) if isinstance(space, str) else None, "large": large})
     return out
 
 

@@ -207,14 +207,15 @@ def merge_rows(blocks: Column) -> Column:
     return F.aggregate(blocks, F.array().cast(f"array<{BLOCK}>"), lambda acc, b: F.when(F.size(acc) == 0, F.array(b)).otherwise(step(acc, b)))
 
 
-def shown_images(images: Column, page: Column, least: int = 0) -> Column:
-    """Of an array of images those that a viewer can show, with their resource ids; those known to be small are left out."""
+def shown_images(images: Column, page: Column, least: int | None = None) -> Column:
+    """Of an array of images those that a viewer can show, with their resource ids; those known to be smaller
+    than `least` (if not given: than parsing's min_image_size) are left out."""
     named = lambda i: i.withField("extension", extension_of(i["mime"])).withField("resource_id", F.concat(F.lit("page"), page.cast("string"), F.lit("_"), i["name"], F.lit("."), extension_of(i["mime"])))
-    large = lambda i: i["width"].isNull() | i["height"].isNull() | (F.least(i["width"], i["height"]) >= least)
+    large = lambda i: i["large"] if least is None else i["width"].isNull() | i["height"].isNull() | (F.least(i["width"], i["height"]) >= least)
     return F.filter(F.transform(images, named), lambda i: i["mime"].startswith("image/") & ~i["extension"].isin("raw", "bin") & large(i))
 
 
-def page_images(parsed: DataFrame, least: int = 0) -> DataFrame:
+def page_images(parsed: DataFrame, least: int | None = None) -> DataFrame:
     """A row for each image of shown_images."""
     rows = parsed.where("kind = 'page'").select("doc_id", "page", F.posexplode(shown_images(F.col("content.images"), F.col("page"), least)).alias("ord", "i"))
     return rows.select("doc_id", "page", "ord", "i.*")

@@ -53,7 +53,7 @@ class PageSelection:
 class ParseOptions:
     """What to read from a file. password is tried after the empty one; memory limits are the cluster's.
 
-    Images known to be narrower or lower than min_image_size are left out. Without `layout` no lines and tables are
+    Images known to be narrower or lower than min_image_size are no elements of their page, but stay in the image table. Without `layout` no lines and tables are
     built, for those who only want spans, counts or images. With spec_matrices `cm` is applied as the format has it.
     """
 

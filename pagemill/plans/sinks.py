@@ -31,7 +31,7 @@ def rendered(parsed: DataFrame, blocks: DataFrame, formats=tuple(FORMATS), optio
     return out
 
 
-def unique_images(parsed: DataFrame, least: int = 0) -> DataFrame:
+def unique_images(parsed: DataFrame, least: int | None = None) -> DataFrame:
     """Images with first_resource_id, the id under which equal content of the document is kept."""
     return dedup_by_content(page_images(parsed, least), "data", ["page", "ord"], ["doc_id"], "resource_id")
 

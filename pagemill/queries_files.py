@@ -285,9 +285,9 @@ def _image_files(spark, sf_dir, **options):
 
 
 @query("""SELECT s_suppkey, page, name, mime, w AS width, octet_length(data) AS size, md5(data) AS digest FROM (SELECT s_suppkey, encode(repeat((s_suppkey % 5)::VARCHAR, 300)) AS d FROM supplier),
-LATERAL (SELECT * FROM (VALUES (1::BIGINT, 'Im1', 'image/jpeg', 595::BIGINT, '\\xFF\\xD8\\xFF'::BLOB || d), (2, 'Im1', 'image/jpeg', 595, '\\xFF\\xD8\\xFF'::BLOB || d), (2, 'Im2', 'image/jp2', 100, '\\xFF\\xD8\\xFF'::BLOB || d), (2, 'Im4', 'application/octet-stream', 80, encode('raw bytes'))) v(page, name, mime, w, data))""".replace("\\\\", "\\"))
+LATERAL (SELECT * FROM (VALUES (1::BIGINT, 'Im1', 'image/jpeg', 595::BIGINT, '\\xFF\\xD8\\xFF'::BLOB || d), (2, 'Im1', 'image/jpeg', 595, '\\xFF\\xD8\\xFF'::BLOB || d), (2, 'Im2', 'image/jp2', 100, '\\xFF\\xD8\\xFF'::BLOB || d), (2, 'Im3', 'image/jpeg', 20, '\\xFF\\xD8\\xFF tiny'::BLOB), (2, 'Im4', 'application/octet-stream', 80, encode('raw bytes'))) v(page, name, mime, w, data))""".replace("\\\\", "\\"))
 def pdf_images(spark, sf_dir):
-    """Image objects of pages by name, with their type; images known to be small are not read."""
+    """Image objects of pages by name, with their type, small ones included."""
     out = pdf.images(_image_files(spark, sf_dir))
     return out.select(_key("s_suppkey"), F.col("page").cast("long").alias("page"), "name", "mime", F.col("width").cast("long").alias("width"), F.octet_length("data").cast("long").alias("size"), F.md5("data").alias("digest"))
 
@@ -309,7 +309,7 @@ def resource_inventory(spark, sf_dir):
     return images.select(_key("s_suppkey"), F.col("page").cast("long").alias("page"), "resource_id", "first_resource_id")
 
 
-@query("""SELECT s_suppkey, s_name AS title, CASE WHEN s_suppkey % 2 = 1 THEN 1 ELSE 0 END::BIGINT AS word_count, CASE WHEN s_suppkey % 2 = 1 THEN strlen(s_name) ELSE 0 END::BIGINT AS text_bytes, CAST(4 AS BIGINT) AS image_count, CAST(1 AS BIGINT) AS bookmark_count,
+@query("""SELECT s_suppkey, s_name AS title, CASE WHEN s_suppkey % 2 = 1 THEN 1 ELSE 0 END::BIGINT AS word_count, CASE WHEN s_suppkey % 2 = 1 THEN strlen(s_name) ELSE 0 END::BIGINT AS text_bytes, CAST(5 AS BIGINT) AS image_count, CAST(1 AS BIGINT) AS bookmark_count,
 CAST(1 AS BIGINT) AS images_written, s_suppkey % 2 = 0 AS warned FROM supplier""")
 def document_info(spark, sf_dir):
     parsed = _image_files(spark, sf_dir).persist()

@@ -15,7 +15,7 @@ VALUE = "struct<kind:string,text:string,bool:boolean,choices:array<string>>"
 SPAN = "struct<text:string,x:float,y:float,width:float,font_size:float,font_name:string>"
 LINE = "struct<text:string,x:float,y:float,font_size:float,bold:boolean>"
 TABLE = "struct<top:float,bottom:float,left:float,right:float,columns:array<float>,cells:array<array<string>>,confidence:float>"
-IMAGE = "struct<name:string,data:binary,mime:string,width:int,height:int,bits:int,color_space:string>"
+IMAGE = "struct<name:string,data:binary,mime:string,width:int,height:int,bits:int,color_space:string,large:boolean>"
 DOCUMENT = (
     "struct<title:string,author:string,subject:string,keywords:string,creator:string,producer:string,created:string,modified:string,pdf_version:string,page_count:int,encrypted:boolean,"
     "tagged:boolean,outline:array<struct<item_id:int,parent_id:int,ord:int,level:int,title:string,page:int>>,"
