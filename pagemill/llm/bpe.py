@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from itertools import chain
 
 import numpy as np
 
@@ -12,7 +13,7 @@ from . import textops as tx
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # Unicode White_Space, which \s means in the pre-tokeniser's pattern.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CACHE = 200_000
+CACHE = 400_000
 _classes: list[np.ndarray] = []
 
 
@@ -111,24 +112,46 @@ class Encoder:
         return [e.ids for e in self.library.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
 
     def _reset(self):
-        self.place: dict[bytes, int] = {}
+        """An empty cache: sorted hashes and their entries; bytes and ids of entry e are `text` and `pool` at e."""
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _entries(self, pieces: list[bytes]) -> np.ndarray:
-        """Cache entries of distinct pre-tokens."""
-        if len(self.place) > CACHE:
+    def _known(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Cache entries of pre-tokens, -1 for those that are not there; an entry's bytes are compared."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        entry = np.where(self.keys[at] == hashes, self.entry[at], -1)
+        hit = np.flatnonzero(entry >= 0)
+        same = self.text_size[entry[hit]] == sizes[hit]
+        entry[hit[~same]] = -1
+        hit = hit[same]
+        same = tx.same_spans(np.concatenate([self.text, buf]), self.text_at[entry[hit]], len(self.text) + starts[hit], sizes[hit])
+        entry[hit[~same]] = -1
+        return entry
+
+    def _entries(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Cache entries of distinct pre-tokens in the order of their hashes."""
+        if len(self.size) > CACHE:
             self._reset()
-        at = np.array([self.place.get(p, -1) for p in pieces], np.int64)
+        sizes = ends - starts
+        at = self._known(hashes, buf, starts, sizes)
         fresh = np.flatnonzero(at < 0)
         if len(fresh):
-            unknown = [pieces[i] for i in fresh.tolist()]
-            found = self._pieces(unknown)
-            sizes = np.array([len(x) for x in found], np.int64)
-            begin = len(self.pool) + np.cumsum(sizes) - sizes
-            self.pool = np.concatenate([self.pool, np.array([i for x in found for i in x], np.uint32)])
-            at[fresh] = np.arange(len(self.begin), len(self.begin) + len(fresh))
-            self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
-            self.place.update(zip(unknown, at[fresh].tolist()))
+            data = buf.tobytes()
+            found = self._pieces([data[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist())])
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))
+            at[fresh] = new = np.arange(len(self.size), len(self.size) + len(fresh))
+            own, place = sizes[fresh], len(self.text) + np.cumsum(sizes[fresh]) - sizes[fresh]
+            self.text = np.concatenate([self.text, buf[np.arange(own.sum()) + np.repeat(starts[fresh] - place + len(self.text), own)]])
+            self.text_at, self.text_size = np.concatenate([self.text_at, place]), np.concatenate([self.text_size, own])
+            self.begin, self.size = np.concatenate([self.begin, len(self.pool) + np.cumsum(count) - count]), np.concatenate([self.size, count])
+            self.pool = np.concatenate([self.pool, ids])
+            keys, entry = np.concatenate([self.keys, hashes[fresh]]), np.concatenate([self.entry, new])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.entry = keys[order], entry[order]
         return at
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,16 +177,16 @@ class Encoder:
         cp = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
         starts = np.flatnonzero(lead)[pretoken_starts(cp, np.r_[0, np.cumsum(lead)][off])]
         ends = np.r_[starts[1:], len(buf)]
-        _, first, which = np.unique(tx.span_hash(buf, starts, ends), return_index=True, return_inverse=True)
-        data, long = buf.tobytes(), ends - starts
-        like = first[which]
+        hashes, first, which = tx.distinct(tx.span_hash(buf, starts, ends))
+        long, like = ends - starts, first[which]
         alike = long == long[like]
         alike[alike] = tx.same_spans(buf, starts[alike], starts[like[alike]], long[alike])
         if not alike.all():  # different pre-tokens with one hash: each differing one stands for itself
             odd = np.flatnonzero(~alike)
+            hashes = np.r_[hashes, hashes[which[odd]]]
             which[odd] = len(first) + np.arange(len(odd))
             first = np.r_[first, odd]
-        entry = self._entries([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])[which]
+        entry = self._entries(hashes, buf, starts[first], ends[first])[which]
         size = self.size[entry]
         total = np.cumsum(size)
         ids = self.pool[np.arange(total[-1]) + np.repeat(self.begin[entry] - (total - size), size)]

@@ -103,9 +103,10 @@ class ShardIndex:
         # a query is a document's terms of most weight among those that any other document of the shard has
         shared = here[term] > 1
         doc_q, term_q = doc[shared], term[shared]
-        order = np.lexsort((term_q, -weight[shared], doc_q))
+        order = np.argsort(-weight[shared], kind="stable")  # pairs come by document and term, which decides ties
+        order = order[tx.stable_order(doc_q[order], n)]
         self.query, self.query_at = term_q[order], np.searchsorted(doc_q[order], np.arange(n + 1))
-        order = np.argsort(term, kind="stable")
+        order = tx.stable_order(term, len(terms))
         self.doc, self.weight, self.at = doc[order], weight[order], np.r_[0, np.cumsum(here)]
         self.n, self.query_terms = n, query_terms
 

@@ -99,6 +99,25 @@ def equal_groups(buf: np.ndarray, starts: np.ndarray, size: np.ndarray, new: np.
     return new
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, an index of each, and for every hash its number among them."""
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    new = np.r_[np.ones(min(1, len(hashes)), bool), ranked[1:] != ranked[:-1]]
+    which = np.empty(len(hashes), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], which
+
+
+def stable_order(values: np.ndarray, bound: int) -> np.ndarray:
+    """Indices that sort integers from 0 to bound, ties as they were: a radix sort by 16 bits."""
+    digit = lambda v, shift: ((v >> shift) & 0xFFFF).astype(np.uint16)
+    order = np.argsort(digit(values, 0), kind="stable")
+    for shift in range(16, int(bound).bit_length(), 16):
+        order = order[np.argsort(digit(values[order], shift), kind="stable")]
+    return order
+
+
 def byte_grams(buf: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each run of k >= 8 bytes."""
     n = len(buf) - k + 1
