@@ -118,6 +118,17 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + size)) AS s FROM f WHERE {'
 lost AS (SELECT i.doc_id, i.k FROM i JOIN gone ON gone.doc_id = i.doc_id AND gone.s = i.s)
 SELECT a.doc_id AS doc_id, count(i.k) AS n_lines, count(lost.k) AS n_removed, sha256(coalesce(string_agg(CASE WHEN lost.k IS NULL THEN raw END, chr(10) ORDER BY a.k), '')) AS kept_sha256
 FROM a LEFT JOIN i ON i.doc_id = a.doc_id AND i.k = a.k LEFT JOIN lost ON lost.doc_id = a.doc_id AND lost.k = a.k GROUP BY a.doc_id""",
+    "op9_suffix_dedup": """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT doc_id, s, b[s:s + 49] AS q FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS s FROM d)),
+f AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY q) AS low FROM g) WHERE doc_id > low),
+r AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM
+(SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS fresh FROM f)),
+p AS (SELECT doc_id, min(s) AS lo, max(s) + 50 AS hi FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, lo, hi, lag(hi, 1, 1) OVER (PARTITION BY doc_id ORDER BY lo) AS since FROM p),
+c AS (SELECT doc_id, count(*) AS n, sum(hi - lo) AS gone, max(hi) AS last, list({'a': since, 'z': lo - 1} ORDER BY lo) AS stays FROM k GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+sha256(CASE WHEN n IS NULL THEN b ELSE from_hex(array_to_string(list_transform(stays, lambda x: CASE WHEN x.z < x.a THEN '' ELSE hex(b[x.a:x.z]) END), '') || CASE WHEN last > octet_length(b) THEN '' ELSE hex(b[last:octet_length(b)]) END) END) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id""",
     "op10_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 5""",

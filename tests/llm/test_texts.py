@@ -625,3 +625,39 @@ def test_gathered_tables_do_not_depend_on_batches():
         cuts.append([t.column("t").to_pylist() for t in tx.gathered(batches, "t", 10)])
         assert sum(cuts[-1], []) == texts
     assert cuts[0] == cuts[1] == cuts[2] and all(sum(len(x or "") for x in c) <= 10 or len(c) == 1 for c in cuts[0])
+
+
+def test_radix_order_and_distinct_hashes():
+    rng = np.random.default_rng(5)
+    for bound in (1, 7, 65_535, 65_536, 70_000, 1 << 40):
+        for n in (0, 1, 5_000):
+            values = rng.integers(0, bound + 1, n)
+            assert tx.stable_order(values, bound).tolist() == np.argsort(values, kind="stable").tolist()
+    for n in (0, 1, 3_000):
+        hashes = rng.integers(0, 200, n).astype(np.uint64)
+        values, first, which = tx.distinct(hashes)
+        assert values.tolist() == sorted(set(hashes.tolist()))
+        assert (hashes[first] == values).all() and (values[which] == hashes).all()
+
+
+def test_encoder_cache_compares_bytes_and_starts_over(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pagemill.llm import bpe
+
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(tokenizer)
+    texts = [" ".join(f"word{k * j} Wort{k}" for j in range(30)) for k in range(40)] + ["", "it's", "été  \n naïve 日本語"]
+    # hashes of four values: nearly all pre-tokens are strangers of equal hash; a small cache is emptied between the texts
+    for few, cache in ((True, 400_000), (False, 50), (True, 50)):
+        with monkeypatch.context() as patch:
+            patch.setattr(bpe, "CACHE", cache)
+            if few:
+                own = tx.span_hash
+                patch.setattr(tx, "span_hash", lambda *a: own(*a) & np.uint64(3))
+            encoder = bpe.Encoder(tokenizer)
+            for text in texts * 2:
+                buf = np.frombuffer(text.encode(), np.uint8)
+                ids, _ = encoder.encode(buf, np.array([0, len(buf)]))
+                assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
