@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -86,6 +88,24 @@ def _byte_merger(model: dict):
     return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
+class _Column:
+    """An array that grows at its end: `data` up to `n`."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.zeros(1 << 12, dtype), 0
+
+    def extend(self, values: np.ndarray):
+        n = self.n + len(values)
+        if n + 8 > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(max(n + 8, 2 * self.n) - self.n, self.data.dtype)])
+        self.data[self.n : n] = values
+        self.n = n
+
+    def eight(self) -> np.ndarray:
+        """As textops.load8, of a column of bytes: eight more are always there."""
+        return np.ndarray((self.n + 1,), "<u8", self.data, strides=(1,))
+
+
 class Encoder:
     """Ids of documents in flat text, as the tokenizer file gives them without special tokens being added."""
 
@@ -112,47 +132,75 @@ class Encoder:
         return [e.ids for e in self.library.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
 
     def _reset(self):
-        """An empty cache: sorted hashes and their entries; bytes and ids of entry e are `text` and `pool` at e."""
-        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _known(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Cache entries of pre-tokens, -1 for those that are not there; an entry's bytes are compared."""
-        if not len(self.keys):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        entry = np.where(self.keys[at] == hashes, self.entry[at], -1)
-        hit = np.flatnonzero(entry >= 0)
-        same = self.text_size[entry[hit]] == sizes[hit]
-        entry[hit[~same]] = -1
-        hit = hit[same]
-        same = tx.same_spans(np.concatenate([self.text, buf]), self.text_at[entry[hit]], len(self.text) + starts[hit], sizes[hit])
-        entry[hit[~same]] = -1
+        """An empty cache: entry e has a hash, its bytes and its ids; `slots` holds entries by the hash's low bits."""
+        self.slots = np.full(2 << CACHE.bit_length(), -1, np.int32)
+        self.keys, self.text, self.pool = _Column(np.uint64), _Column(np.uint8), _Column(np.uint32)
+        self.text_at, self.text_size, self.begin, self.size = (_Column(np.int64) for _ in range(4))
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The cache entry of each hash, -1 if there is none."""
+        keys, last = self.keys.data, len(self.slots) - 1
+        at = (hashes & np.uint64(last)).astype(np.int64)
+        entry = self.slots[at]
+        other = np.flatnonzero((entry >= 0) & (keys[entry] != hashes))
+        while len(other):  # the next slots, up to an empty one
+            at[other] = (at[other] + 1) & last
+            entry[other] = self.slots[at[other]]
+            other = other[(entry[other] >= 0) & (keys[entry[other]] != hashes[other])]
         return entry
 
-    def _entries(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Cache entries of distinct pre-tokens in the order of their hashes."""
-        if len(self.size) > CACHE:
+    def _insert(self, entries: np.ndarray):
+        """Slots for entries of distinct hashes that have none; half of the slots stay empty."""
+        if 2 * self.size.n > len(self.slots):
+            held = self.slots[self.slots >= 0]
+            self.slots = np.full(4 << self.size.n.bit_length(), -1, np.int32)
+            entries = np.r_[held, entries]
+        last = len(self.slots) - 1
+        at = (self.keys.data[entries] & np.uint64(last)).astype(np.int64)
+        while len(entries):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entries[free]
+            left = self.slots[at] != entries
+            entries, at = entries[left], (at[left] + 1) & last
+
+    def _add(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New entries of pre-tokens."""
+        data = buf.tobytes()
+        found = self._pieces([data[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist())])
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        new, place = np.arange(self.size.n, self.size.n + len(found)), np.cumsum(sizes) - sizes
+        self.keys.extend(hashes)
+        self.text_at.extend(self.text.n + place)
+        self.text_size.extend(sizes)
+        self.text.extend(buf[np.arange(sizes.sum()) + np.repeat(starts - place, sizes)])
+        self.begin.extend(self.pool.n + np.cumsum(count) - count)
+        self.size.extend(count)
+        self.pool.extend(np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())))
+        return new
+
+    def _entries(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Cache entries of pre-tokens; an entry's bytes are compared, and those that are not there are added."""
+        if self.size.n > CACHE:
             self._reset()
-        sizes = ends - starts
-        at = self._known(hashes, buf, starts, sizes)
-        fresh = np.flatnonzero(at < 0)
+        entry = self._find(hashes)
+        hit = np.flatnonzero(entry >= 0)
+        own = entry[hit]
+        same = self.text_size.data[own] == sizes[hit]
+        same &= tx.same_loaded(self.text.eight(), self.text_at.data[own], tx.load8(buf), starts[hit], np.where(same, sizes[hit], 0))
+        entry[hit[~same]] = -1
+        fresh = np.flatnonzero(entry < 0)
         if len(fresh):
-            data = buf.tobytes()
-            found = self._pieces([data[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist())])
-            count = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))
-            at[fresh] = new = np.arange(len(self.size), len(self.size) + len(fresh))
-            own, place = sizes[fresh], len(self.text) + np.cumsum(sizes[fresh]) - sizes[fresh]
-            self.text = np.concatenate([self.text, buf[np.arange(own.sum()) + np.repeat(starts[fresh] - place + len(self.text), own)]])
-            self.text_at, self.text_size = np.concatenate([self.text_at, place]), np.concatenate([self.text_size, own])
-            self.begin, self.size = np.concatenate([self.begin, len(self.pool) + np.cumsum(count) - count]), np.concatenate([self.size, count])
-            self.pool = np.concatenate([self.pool, ids])
-            keys, entry = np.concatenate([self.keys, hashes[fresh]]), np.concatenate([self.entry, new])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.entry = keys[order], entry[order]
-        return at
+            _, first, which = tx.distinct(hashes[fresh])
+            lead = fresh[first]
+            alike = sizes[fresh] == sizes[lead[which]]
+            alike[alike] = tx.same_spans(buf, starts[fresh[alike]], starts[lead[which[alike]]], sizes[fresh[alike]])
+            odd = np.flatnonzero(~alike)  # different pre-tokens with one hash: each differing one stands for itself
+            which[odd] = len(first) + np.arange(len(odd))
+            lead = np.r_[lead, fresh[odd]]
+            new = self._add(hashes[lead], buf, starts[lead], sizes[lead])
+            entry[fresh] = new[which]
+            self._insert(new[: len(first)][self._find(hashes[lead[: len(first)]]) < 0])
+        return entry
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) for documents of UTF-8 bytes."""
@@ -175,19 +223,23 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         lead = (buf & 0xC0) != 0x80
         cp = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
-        starts = np.flatnonzero(lead)[pretoken_starts(cp, np.r_[0, np.cumsum(lead)][off])]
+        place = np.flatnonzero(lead)
+        starts = place[pretoken_starts(cp, np.searchsorted(place, off))]
         ends = np.r_[starts[1:], len(buf)]
-        hashes, first, which = tx.distinct(tx.span_hash(buf, starts, ends))
-        long, like = ends - starts, first[which]
-        alike = long == long[like]
-        alike[alike] = tx.same_spans(buf, starts[alike], starts[like[alike]], long[alike])
-        if not alike.all():  # different pre-tokens with one hash: each differing one stands for itself
-            odd = np.flatnonzero(~alike)
-            hashes = np.r_[hashes, hashes[which[odd]]]
-            which[odd] = len(first) + np.arange(len(odd))
-            first = np.r_[first, odd]
-        entry = self._entries(hashes, buf, starts[first], ends[first])[which]
-        size = self.size[entry]
+        entry = self._entries(tx.span_hash(buf, starts, ends), buf, starts, ends - starts)
+        size = self.size.data[entry]
         total = np.cumsum(size)
-        ids = self.pool[np.arange(total[-1]) + np.repeat(self.begin[entry] - (total - size), size)]
+        ids = self.pool.data[np.arange(total[-1]) + np.repeat(self.begin.data[entry] - (total - size), size)]
         return ids, np.r_[0, total][np.searchsorted(starts, off)]
+
+
+@lru_cache(maxsize=1)
+def _last_encoder(path: str, changed: int, size: int) -> Encoder:
+    return Encoder(path)
+
+
+def shared_encoder(path: str) -> Encoder:
+    """The process's encoder of that file with its cache, which tasks of one Python worker use one after another; a new
+    one if the file has changed. The cache changes no id, and only the last file's is kept."""
+    found = os.stat(path)
+    return _last_encoder(path, found.st_mtime_ns, found.st_size)

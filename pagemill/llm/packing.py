@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textops as tx
-from .bpe import Encoder
+from .bpe import shared_encoder
 from .session import prepare
 
 SHARD_BYTES = 2 << 20
@@ -47,7 +47,7 @@ def corpus_statistics(docs: DataFrame) -> Corpus:
         times, totals = np.zeros(1 << DF_BITS, np.int64), np.zeros(3, np.int64)
         for batch in batches:
             for _, buf, off in tx.slices(batch, "text", 1 << 20):
-                words = tx.Words(tx.LOWER[buf], off)
+                words = tx.Words(tx.lower(buf), off)
                 pair = (words.docs() << DF_BITS) | _cell(words.hashes())
                 pair.sort()
                 first = np.ones(len(pair), bool)
@@ -69,7 +69,7 @@ def content_keys(corpus: Corpus, buf: np.ndarray, off: np.ndarray, parts: int) -
     words' idf (weighted MinHash), so documents have equal keys the likelier the more rare words they share. A word that
     many documents have is cut into heaps, by its document frequency.
     """
-    words = tx.Words(tx.LOWER[buf], off)
+    words = tx.Words(tx.lower(buf), off)
     h, docs = words.hashes(), words.docs()
     weight = np.where(corpus.frequency(h) > 1, corpus.idf(h), 0.0)
     keys, heaps = [], np.ones(len(off) - 1, np.int64)
@@ -93,9 +93,9 @@ class ShardIndex:
     """BM25 postings of one shard, weighted by the statistics of the whole corpus."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, corpus: Corpus, query_terms: int = 12):
-        words = tx.Words(tx.LOWER[buf], off)
+        words = tx.Words(tx.lower(buf), off)
         n = len(off) - 1
-        terms, which = np.unique(words.hashes(), return_inverse=True)
+        terms, _, which = tx.distinct(words.hashes())
         pair, tf = np.unique(words.docs() * max(1, len(terms)) + which, return_counts=True)
         doc, term = pair // max(1, len(terms)), pair % max(1, len(terms))
         here = np.bincount(term, minlength=len(terms))
@@ -103,7 +103,8 @@ class ShardIndex:
         # a query is a document's terms of most weight among those that any other document of the shard has
         shared = here[term] > 1
         doc_q, term_q = doc[shared], term[shared]
-        order = np.argsort(-weight[shared], kind="stable")  # pairs come by document and term, which decides ties
+        # heaviest first, by the bits of numbers that are never negative; pairs come by document and term, which decides ties
+        order = tx.hash_order(~weight[shared].view(np.uint64))
         order = order[tx.stable_order(doc_q[order], n)]
         self.query, self.query_at = term_q[order], np.searchsorted(doc_q[order], np.arange(n + 1))
         order = tx.stable_order(term, len(terms))
@@ -197,16 +198,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, end_id:
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, base = Encoder(tokenizer), TaskContext.get().partitionId() << 40
+        encoder, base = shared_encoder(tokenizer), TaskContext.get().partitionId() << 40
         for rows in tx.gathered(batches, "text", SHARD_BYTES):
             buf, off = tx.flat(rows.column("text"))
             parts = [encoder.encode(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in tx.chunks(off, 1 << 19)]
             tokens = np.concatenate([np.diff(o) for _, o in parts]) + 1
-            ids = np.concatenate([i for i, _ in parts])
-            at = np.r_[0, np.cumsum(tokens - 1)]
+            end = np.cumsum(tokens)
+            ids, own = np.full(end[-1], end_id, "<u4"), np.ones(end[-1], bool)
+            own[end - 1] = False
+            ids[own] = np.concatenate([i for i, _ in parts])
             pieces = pack_shard(ShardIndex(buf, off, shared.value, query_terms), tokens, window)
             doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces))
-            blobs = [np.r_[ids[at[d] + s : min(at[d] + s + n, at[d + 1])], np.full(int(s + n == tokens[d]), end_id, np.uint32)].astype("<u4").tobytes() for d, s, n, _, _ in pieces]
+            first = (end - tokens)[doc] + start
+            blobs = [ids[a:b].tobytes() for a, b in zip(first.tolist(), (first + length).tolist())]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": rows.column("doc_id").combine_chunks().take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length), "ids": pa.array(blobs, pa.binary()),
                 "doc_tokens": pa.array(tokens[doc]), "sequence_id": pa.array(base + sequence), "offset": pa.array(offset)})

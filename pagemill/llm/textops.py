@@ -32,6 +32,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U64(31))
 
 
+def lower(buf: np.ndarray) -> np.ndarray:
+    """LOWER[buf], by arithmetic."""
+    return buf + (((buf - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+
+
 def load8(buf: np.ndarray) -> np.ndarray:
     """The eight bytes from each position of buf and its end on, as an unaligned view; zeros follow the end."""
     return np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
@@ -59,15 +64,16 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int =
     a text keeps its sum, as it can under polynomial hashes modulo a power of two.
     """
     eight, size = load8(buf), ends - starts
-    out = np.zeros(len(starts), _U64)
     seeds = _seeds(np.arange(SHORT), lane)
-    at = np.arange(len(starts))
-    for k in range(SHORT):
-        at = at[size[at] > 8 * k]
-        if not len(at):
+    out = mix((eight[starts] & _MASKS[np.minimum(size, 8)]) + seeds[0])
+    out[size == 0] = 0
+    at, place, left = np.arange(len(starts)), starts, size
+    for k in range(1, SHORT + 1):
+        more = np.flatnonzero(left > 8)
+        at, place, left = at[more], place[more] + 8, left[more] - 8
+        if not len(at) or k == SHORT:
             break
-        out[at] += mix((eight[starts[at] + 8 * k] & _MASKS[np.minimum(size[at] - 8 * k, 8)]) + seeds[k])
-    at = at[size[at] > 8 * SHORT]
+        out[at] += mix((eight[place] & _MASKS[np.minimum(left, 8)]) + seeds[k])
     for span, k in _long_spans(size[at] - 8 * SHORT) if len(at) else ():
         own, k = at[span], k + SHORT
         value = mix((eight[starts[own] + 8 * k] & _MASKS[np.minimum(size[own] - 8 * k, 8)]) + _seeds(k, lane))
@@ -78,10 +84,18 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int =
 
 def same_spans(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether buf[a : a + size] equals buf[b : b + size], byte by byte, for each triple."""
-    eight, out = load8(buf), np.ones(len(a), bool)
-    for span, k in _long_spans(size):
-        differ = (eight[a[span] + 8 * k] ^ eight[b[span] + 8 * k]) & _MASKS[np.minimum(size[span] - 8 * k, 8)]
-        out[span[differ != 0]] = False
+    eight = load8(buf)
+    return same_loaded(eight, a, eight, b, size)
+
+
+def same_loaded(one: np.ndarray, a: np.ndarray, two: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """same_spans of spans at `a` of one buffer and `b` of another, both as load8 gives them."""
+    out = ((one[a] ^ two[b]) & _MASKS[np.minimum(size, 8)]) == 0
+    rest = np.flatnonzero(out & (size > 8))
+    a, b, size = a[rest] + 8, b[rest] + 8, size[rest] - 8
+    for span, k in _long_spans(size) if len(rest) else ():
+        differ = (one[a[span] + 8 * k] ^ two[b[span] + 8 * k]) & _MASKS[np.minimum(size[span] - 8 * k, 8)]
+        out[rest[span[differ != 0]]] = False
     return out
 
 
@@ -101,7 +115,7 @@ def equal_groups(buf: np.ndarray, starts: np.ndarray, size: np.ndarray, new: np.
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes, an index of each, and for every hash its number among them."""
-    order = np.argsort(hashes)
+    order = hash_order(hashes)
     ranked = hashes[order]
     new = np.r_[np.ones(min(1, len(hashes)), bool), ranked[1:] != ranked[:-1]]
     which = np.empty(len(hashes), np.int64)
@@ -109,6 +123,17 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[new], order[new], which
 
 
+def hash_order(keys: np.ndarray) -> np.ndarray:
+    """Indices that sort unsigned 64-bit keys, ties as they were: upper bits are sorted as numbers that end in the index,
+    and what equal upper bits leave unsorted, if anything, by a merge sort of nearly sorted keys."""
+    low = _U64(len(keys).bit_length())
+    packed = ((keys >> low) << low) | np.arange(len(keys), dtype=_U64)
+    packed.sort()
+    order = (packed & ((_U64(1) << low) - _U64(1))).astype(np.int64)
+    ranked = keys[order]
+    return order[np.argsort(ranked, kind="stable")] if (ranked[1:] < ranked[:-1]).any() else order
+
+
 def stable_order(values: np.ndarray, bound: int) -> np.ndarray:
     """Indices that sort integers from 0 to bound, ties as they were: a radix sort by 16 bits."""
     digit = lambda v, shift: ((v >> shift) & 0xFFFF).astype(np.uint16)
@@ -180,14 +205,12 @@ class Words:
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         n = len(buf)
-        ink = ~SPACE_BYTES[buf]
-        edge = np.zeros(n + 1, bool)
-        edge[off] = True
-        before, after = np.zeros(n, bool), np.zeros(n, bool)
-        before[1:] = ink[:-1]
-        after[:-1] = ink[1:]
-        self.starts = np.flatnonzero(ink & (edge[:n] | ~before))
-        self.ends = np.flatnonzero(ink & (edge[1:] | ~after)) + 1
+        ink = (buf != 0x20) & ((buf - np.uint8(9)) > 4)  # not one of SPACE_BYTES
+        cut = np.zeros(n + 1, bool)
+        cut[off] = True
+        cut[1:n] |= ink[1:] != ink[:-1]
+        self.starts = np.flatnonzero(ink & cut[:n])
+        self.ends = np.flatnonzero(ink & cut[1:]) + 1
         self.first = np.searchsorted(self.starts, off)
         self.counts = np.diff(self.first)
         self.buf = buf

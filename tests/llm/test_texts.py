@@ -661,3 +661,68 @@ def test_encoder_cache_compares_bytes_and_starts_over(monkeypatch):
                 buf = np.frombuffer(text.encode(), np.uint8)
                 ids, _ = encoder.encode(buf, np.array([0, len(buf)]))
                 assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_is_kept_between_tasks(tmp_path):
+    """One encoder a process and file: a second task merges nothing again; a changed file gets a new one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pagemill.llm import bpe
+
+    path = tmp_path / "tokenizer.json"
+    path.write_bytes(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+    library, text = Tokenizer.from_file(str(path)), " ".join(f"word{k} naïve'll" for k in range(300))
+    buf, merged, known = np.frombuffer(text.encode(), np.uint8), [], library.encode(text, add_special_tokens=False).ids
+    own = bpe.shared_encoder(str(path)).merge
+    bpe.shared_encoder(str(path)).merge = lambda piece: (merged.append(piece), own(piece))[1]
+    for _ in range(2):
+        assert bpe.shared_encoder(str(path)).encode(buf, np.array([0, len(buf)]))[0].tolist() == known
+    assert len(merged) == len(set(merged)) > 300
+    path.write_bytes(path.read_bytes() + b"\n")
+    assert bpe.shared_encoder(str(path)).merge(b"word") == own(b"word") and not bpe.shared_encoder(str(path)).size.n
+
+
+def test_encoder_cache_grows_past_its_slots(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pagemill.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe, "CACHE", 3000)
+    encoder = bpe.Encoder(path)
+    slots = len(encoder.slots)
+    for text in [" ".join(f"w{k * j}ä" for k in range(2500)) for j in range(1, 4)] + [" ".join(f"x{k}" for k in range(9000))] * 2:
+        buf = np.frombuffer(text.encode(), np.uint8)
+        assert encoder.encode(buf, np.array([0, len(buf)]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        held = encoder.slots[encoder.slots >= 0]
+        assert len(np.unique(held)) == len(held) <= len(encoder.slots) // 2 + 1
+    assert len(encoder.slots) > slots
+
+
+def test_array_kernels_against_plain_versions():
+    rng, every = np.random.default_rng(8), np.arange(256, dtype=np.uint8)
+    assert (tx.lower(every) == tx.LOWER).all()
+    for n in (0, 1, 2, 4_000):
+        buf = rng.choice(np.array([9, 10, 13, 32, 8, 14, 31, 33, 65, 97, 200], np.uint8), n)
+        off = np.r_[0, np.sort(rng.integers(0, n + 1, 40)), n]
+        words = tx.Words(buf, off)
+        plain = [(int(a) + m.start(), int(a) + m.end()) for a, b in zip(off, off[1:]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", buf[a:b].tobytes())]
+        assert list(zip(words.starts.tolist(), words.ends.tolist())) == plain and words.counts.sum() == len(plain)
+    few = rng.integers(0, 3, 3_000).astype(np.uint8)
+    a, b, size = (rng.integers(0, top, 4_000) for top in (2_900, 2_900, 100))
+    b[::3] = a[::3]
+    size[1::3] %= 10
+    raw, pair = few.tobytes(), list(zip(a.tolist(), b.tolist(), size.tolist()))
+    want = [raw[x : x + z] == raw[y : y + z] for x, y, z in pair]
+    assert tx.same_spans(few, a, b, size).tolist() == want
+    assert tx.same_loaded(tx.load8(few), a, tx.load8(few[7:]), np.maximum(b - 7, 0), size).tolist() == [raw[x : x + z] == raw[max(y, 7) : max(y, 7) + z] for x, y, z in pair]
+    by = {}
+    for h, x, z in zip(tx.span_hash(few, a, a + size).tolist(), a.tolist(), size.tolist()):
+        by.setdefault(raw[x : x + z], set()).add(h)
+    assert all(len(h) == 1 for h in by.values()) and len(set.union(*by.values())) == len(by)
+    for keys in (rng.integers(0, 5, 2_000), rng.integers(0, 1 << 63, 2_000), rng.integers(0, 50, 2_000) << 40 | rng.integers(0, 3, 2_000), np.zeros(0, int), np.array([7])):
+        keys = keys.astype(np.uint64)
+        assert tx.hash_order(keys).tolist() == np.argsort(keys, kind="stable").tolist()
